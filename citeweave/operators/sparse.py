@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
@@ -12,32 +14,38 @@ B = 0.75
 EPSILON = 0.25
 
 
-def corpus_stats(docs: DataFrame, doc_id: str, body: str) -> tuple[DataFrame, DataFrame]:
-    """Return ``(terms, totals)``.
+@dataclass(frozen=True)
+class Corpus:
+    """Corpus-wide numbers: two scalars and the idf of a word from its frequency."""
+
+    n_docs: int
+    avg_len: float
+    floor: float
+
+    def raw_idf(self, df: Column) -> Column:
+        return F.log(F.lit(self.n_docs) - df + 0.5) - F.log(df + 0.5)
+
+    def idf(self, df: Column) -> Column:
+        raw = self.raw_idf(df)
+        return F.when(raw < 0, F.lit(self.floor)).otherwise(raw)
 
-    ``terms(term, df, idf)`` floors negative idf at ``EPSILON`` times the mean idf;
-    ``totals(n_docs, avg_len, floor)`` is one row. Both come from partial
-    aggregates, so a frequent word costs one row per map task.
+
+def corpus_stats(docs: DataFrame, doc_id: str, body: str) -> tuple[DataFrame, Corpus]:
+    """Return ``(terms(term, df), corpus)``.
+
+    Negative idf is floored at ``EPSILON`` times the mean idf. Only three scalars
+    reach the driver; document frequencies come from partial aggregates, so a
+    frequent word costs one row per map task.
     """
-    toks = docs.select(doc_id, T.words(F.col(body)).alias("toks"))
-    size = toks.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avg_len")
-    )
-    freq = (
+    toks = docs.select(T.words(F.col(body)).alias("toks"))
+    terms = (
         toks.select(F.explode(F.array_distinct("toks")).alias("term"))
         .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    )
-    raw = freq.join(size, F.lit(True)).withColumn(
-        "raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    )
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    totals = size.join(mean, F.lit(True)).select(
-        "n_docs", "avg_len", (F.col("mean_idf") * EPSILON).alias("floor")
-    )
-    terms = raw.join(totals.select("floor"), F.lit(True)).select(
-        "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf")
-    )
-    return terms, totals
+    ).persist()
+    size = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("len")).first()
+    corpus = Corpus(size["n"], size["len"] or 0.0, 0.0)
+    mean = terms.agg(F.avg(corpus.raw_idf(F.col("df"))).alias("m")).first()["m"]
+    return terms, Corpus(corpus.n_docs, corpus.avg_len, EPSILON * (mean or 0.0))
 
 
 def query_terms(queries: DataFrame, query_id: str, body: str) -> DataFrame:
@@ -61,9 +69,9 @@ def postings(docs: DataFrame, doc_id: str, body: str, vocab: DataFrame) -> DataF
     )
 
 
-def _weight(avg_len):
+def _weight(avg_len: float) -> Column:
     tf, length = F.col("tf"), F.col("len")
-    return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
+    return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(avg_len)))
 
 
 def topk(
@@ -79,15 +87,18 @@ def topk(
     Ties go to the smaller id, and documents without any query word fill up short
     lists with score 0.
     """
-    terms, totals = corpus_stats(docs, doc_id, body)
-    qt = query_terms(queries, query_id, query_body)
-    qt = qt.join(terms, "term").withColumn("cap", F.col("qtf") * F.col("idf") * (K1 + 1))
+    terms, corpus = corpus_stats(docs, doc_id, body)
+    qt = (
+        query_terms(queries, query_id, query_body).join(terms, "term")
+        .withColumn("idf", corpus.idf(F.col("df")))
+        .withColumn("cap", F.col("qtf") * F.col("idf") * (K1 + 1))
+    ).persist()
     vocab = qt.select("term", "idf").distinct()
+    # Read by all three passes below; lost blocks are rebuilt from the corpus.
     weighted = (
-        postings(docs, doc_id, body, vocab.select("term"))
-        .join(vocab, "term").join(totals.select("avg_len"), F.lit(True))
-        .select(doc_id, "term", _weight(F.col("avg_len")).alias("w"))
-    )
+        postings(docs, doc_id, body, vocab.select("term")).join(vocab, "term")
+        .select(doc_id, "term", _weight(corpus.avg_len).alias("w"))
+    ).persist()
 
     # Rare words first: a prefix of each query's words whose lists hold about 4k documents.
     by_df = Window.partitionBy(query_id).orderBy("df", "term")
@@ -138,7 +149,7 @@ def topk(
         alive.unionByName(extra).groupBy(query_id, doc_id).agg(F.sum("part").alias("score"))
     )
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), F.asc(doc_id))
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).persist()
     if not pad:
         return best
     return _pad(best, docs, doc_id, queries, query_id, k)
@@ -152,9 +163,9 @@ def _pad(best: DataFrame, docs: DataFrame, doc_id: str, queries: DataFrame, quer
         .withColumn("have", F.coalesce("have", F.lit(0))).filter(F.col("have") < k)
     )
     # A short list misses fewer than k of the first 2k documents, so those suffice.
-    front = docs.select(doc_id).orderBy(doc_id).limit(2 * k)
+    front = [r[0] for r in docs.select(doc_id).orderBy(doc_id).limit(2 * k).collect()]
     fill = (
-        short.join(front, F.lit(True))
+        short.withColumn(doc_id, F.explode(F.lit(front)))
         .join(best.select(query_id, doc_id), [query_id, doc_id], "left_anti")
         .withColumn("rank", F.col("have") + F.row_number().over(
             Window.partitionBy(query_id).orderBy(doc_id)))

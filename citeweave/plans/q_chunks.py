@@ -66,6 +66,8 @@ WHERE h.doc_id > f.kept
 def content_hash_dups(spark, base):
     docs = table(spark, base, "documents", spread="doc_id")
     hashed = docs.select("doc_id", chunks.fingerprint(F.col("text")).alias("content_hash"))
+    # Narrow rows, spread evenly: both uses below read this one exchange.
+    hashed = hashed.repartition("doc_id")
     firsts = hashed.groupBy("content_hash").agg(
         F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
     return (
@@ -97,9 +99,7 @@ SELECT doc_id, CASE WHEN s IS NULL THEN t WHEN len(s) = 0 THEN substr(t, 1, 200)
 FROM s LEFT JOIN p USING (doc_id)
 """)
 def extractive_summary(spark, base):
-    docs = table(spark, base, "documents", spread="doc_id")
-    folded = docs.select("doc_id", T.ascii_fold(F.col("text")).alias("text"))
-    return chunks.summarise(folded, "doc_id", "text")
+    return chunks.summarise(table(spark, base, "documents"), "doc_id", "text")
 
 
 @query("systematic_sample", """
