@@ -33,22 +33,20 @@ def coverage(ledger: DataFrame, available: DataFrame, key: str) -> DataFrame:
         F.sum("n").alias("total_claims"), F.countDistinct("claim_id").alias("unique_claims"),
         F.sum("bad").alias("ungrounded"))
     used = ledger.select("section", F.explode("citations").alias("cite")).distinct()
-    cited = used.rollup("section").agg(F.countDistinct("cite").alias("unique_citations"))
-    have = available.select(F.col(key).alias("cite")).distinct()
-    used_keys = used.select("cite").distinct()
-    gap = have.agg(F.count(F.lit(1)).alias("available")).first()["available"]
-    unused = have.join(used_keys, "cite", "left_anti").agg(F.count(F.lit(1)).alias("u")).first()["u"]
-    joined = claims.join(cited, claims["section"].eqNullSafe(cited["section"]), "left").select(
+    have = available.select(F.col(key).alias("cite")).distinct().withColumn("_known", F.lit(1))
+    total = have.count()
+    cited = used.join(have, "cite", "left").rollup("section").agg(
+        F.countDistinct("cite").alias("unique_citations"),
+        F.countDistinct(F.when(F.col("_known") == 1, F.col("cite"))).alias("_met"))
+    joined = claims.join(cited, claims["section"].eqNullSafe(cited["section"]), "left")
+    n_cited = F.coalesce("unique_citations", F.lit(0))
+    return joined.select(
         F.coalesce(claims["section"], F.lit("ALL")).alias("section"),
         "total_claims", "unique_claims",
         (F.col("total_claims") - F.col("unique_claims")).alias("duplicate_count"),
-        F.coalesce("unique_citations", F.lit(0)).alias("unique_citations"), "ungrounded")
-    total = F.col("section") == "ALL"
-    return (
-        joined.withColumn("unused_citations", F.when(total, F.lit(unused)))
-        .withColumn("coverage_rate", F.when(
-            total, F.round(F.col("unique_citations") / F.greatest(F.lit(gap), F.lit(1)), 3)))
-    )
+        n_cited.alias("unique_citations"), "ungrounded",
+        (F.lit(total) - F.coalesce("_met", F.lit(0))).alias("unused_citations"),
+        F.round(n_cited / F.greatest(F.lit(total), F.lit(1)), 3).alias("coverage_rate"))
 
 
 def warnings(ledger: DataFrame, keys: list[str], min_citations: int = 1) -> DataFrame:
