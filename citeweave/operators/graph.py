@@ -144,7 +144,7 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     smaller labels win ties). Half of the nodes move per round, which keeps
     two-sided structures from swapping labels forever.
     """
-    links = both_ways(edges).persist()
+    links = durable(both_ways(edges))
     state = durable(links.select(F.col("src").alias("node")).distinct().withColumn("cid", F.col("node")))
     for r in range(rounds):
         votes = (
@@ -175,7 +175,7 @@ def communities(edges: DataFrame, max_levels: int = 4, max_sweeps: int = 8) -> D
     when few nodes move, its communities become the nodes of the next level. Fewer
     than three nodes give no community.
     """
-    links = both_ways(edges.select("u", "v")).withColumn("w", F.lit(1.0)).persist()
+    links = durable(both_ways(edges.select("u", "v")).withColumn("w", F.lit(1.0)))
     nodes = durable(links.select(F.col("src").alias("node")).distinct())
     n = nodes.count()
     if n < 3:
@@ -240,7 +240,7 @@ def betweenness(edges: DataFrame, normalised: bool = True) -> DataFrame:
     Meant for the snapshot of one question: state grows with the square of the
     largest component, as exact betweenness does.
     """
-    links = both_ways(edges.select("u", "v").distinct()).persist()
+    links = durable(both_ways(edges.select("u", "v").distinct()))
     nodes = durable(links.select(F.col("src").alias("node")).distinct())
     n = nodes.count()
     level = nodes.select(F.col("node").alias("source"), "node").withColumn("paths", F.lit(1.0))

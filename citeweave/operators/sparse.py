@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
+from citeweave.session import durable
 
 K1 = 1.5
 B = 0.75
@@ -38,10 +39,10 @@ def corpus_stats(docs: DataFrame, doc_id: str, body: str) -> tuple[DataFrame, Co
     frequent word costs one row per map task.
     """
     toks = docs.select(T.words(F.col(body)).alias("toks"))
-    terms = (
+    terms = durable(
         toks.select(F.explode(F.array_distinct("toks")).alias("term"))
         .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ).persist()
+    )
     size = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("len")).first()
     corpus = Corpus(size["n"], size["len"] or 0.0, 0.0)
     mean = terms.agg(F.avg(corpus.raw_idf(F.col("df"))).alias("m")).first()["m"]
@@ -78,37 +79,48 @@ def topk(
     docs: DataFrame, doc_id: str, body: str,
     queries: DataFrame, query_id: str, query_body: str, k: int, pad: bool = True,
 ) -> DataFrame:
-    """Best ``k`` documents per query: ``(query_id, doc_id, score, rank)``.
+    """Best ``k`` documents per query by BM25: ``(query_id, doc_id, score, rank)``.
 
-    Exact, with upper-bound pruning. A first pass scores only each query's rare
-    words; the k-th partial score is a lower bound for the k-th full score. Words
-    whose joint upper bound stays below it can lift nobody into the result, so
-    their (long) posting lists are read only for documents already in the race.
     Ties go to the smaller id, and documents without any query word fill up short
     lists with score 0.
     """
     terms, corpus = corpus_stats(docs, doc_id, body)
-    qt = (
+    qt = durable(
         query_terms(queries, query_id, query_body).join(terms, "term")
         .withColumn("idf", corpus.idf(F.col("df")))
-        .withColumn("cap", F.col("qtf") * F.col("idf") * (K1 + 1))
-    ).persist()
+    )
     vocab = qt.select("term", "idf").distinct()
-    # Read by all three passes below; lost blocks are rebuilt from the corpus.
-    weighted = (
+    # The queries' part of the index, read by all passes below.
+    weighted = durable(
         postings(docs, doc_id, body, vocab.select("term")).join(vocab, "term")
         .select(doc_id, "term", _weight(corpus.avg_len).alias("w"))
-    ).persist()
+    )
+    best = pruned_topk(qt.select(query_id, "term", F.col("qtf").alias("qw"), "df"), weighted, query_id, doc_id, k)
+    return _pad(durable(best), docs, doc_id, queries, query_id, k) if pad else best
+
+
+def pruned_topk(qt: DataFrame, weighted: DataFrame, query_id: str, doc_id: str, k: int) -> DataFrame:
+    """Exact top-k of ``sum(qw * w)`` over shared words, with upper-bound pruning.
+
+    ``qt(query_id, term, qw, df)`` and ``weighted(doc_id, term, w)`` hold positive
+    weights; both are read several times, so callers materialise them. A first pass
+    scores only each query's rare words; the k-th partial score is a lower bound for
+    the k-th full score. Words whose joint upper bound stays below it can lift nobody
+    into the result, so their (long) posting lists are read only for documents
+    already in the race.
+    """
+    peak = weighted.groupBy("term").agg(F.max("w").alias("peak"))
+    qt = qt.join(peak, "term").withColumn("cap", F.col("qw") * F.col("peak"))
+    before = (Window.unboundedPreceding, -1)
 
     # Rare words first: a prefix of each query's words whose lists hold about 4k documents.
     by_df = Window.partitionBy(query_id).orderBy("df", "term")
-    staged = qt.withColumn(
-        "lead", F.coalesce(F.sum("df").over(by_df.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    lead = staged.filter(F.col("lead") < 4 * k)
+    lead = qt.withColumn(
+        "lead", F.coalesce(F.sum("df").over(by_df.rowsBetween(*before)), F.lit(0))
+    ).filter(F.col("lead") < 4 * k)
     probe = (
-        lead.select(query_id, "term", "qtf").join(weighted, "term")
-        .groupBy(query_id, doc_id).agg(F.sum(F.col("qtf") * F.col("w")).alias("part"))
+        lead.select(query_id, "term", "qw").join(weighted, "term")
+        .groupBy(query_id, doc_id).agg(F.sum(F.col("qw") * F.col("w")).alias("part"))
     )
     nth = Window.partitionBy(query_id).orderBy(F.desc("part"), F.asc(doc_id))
     bound = (
@@ -118,23 +130,23 @@ def topk(
     )
     # Weakest words first; a word is optional while the caps up to it stay below theta.
     by_cap = Window.partitionBy(query_id).orderBy("cap", F.desc("df"), "term")
-    graded = (
+    graded = durable(
         qt.withColumn("reach", F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, 0)))
         .join(bound, query_id, "left")
         .withColumn("optional", F.coalesce(F.col("reach") < F.col("theta") * (1 - 1e-9), F.lit(False)))
     )
-    needed = graded.filter(~F.col("optional")).select(query_id, "term", "qtf")
-    optional = graded.filter("optional").select(query_id, "term", "qtf")
+    needed = graded.filter(~F.col("optional")).select(query_id, "term", "qw")
+    optional = graded.filter("optional").select(query_id, "term", "qw")
     base = (
         needed.join(weighted, "term")
-        .groupBy(query_id, doc_id).agg(F.sum(F.col("qtf") * F.col("w")).alias("part"))
+        .groupBy(query_id, doc_id).agg(F.sum(F.col("qw") * F.col("w")).alias("part"))
     )
     # Candidates that could still reach theta with every optional word present.
     slack = graded.groupBy(query_id).agg(
         F.coalesce(F.sum(F.when(F.col("optional"), F.col("cap"))), F.lit(0.0)).alias("slack"),
         F.first("theta").alias("theta"),
     )
-    alive = (
+    alive = durable(
         base.join(slack, query_id)
         .filter(F.col("theta").isNull() | (F.col("part") + F.col("slack") >= F.col("theta") * (1 - 1e-9)))
         .select(query_id, doc_id, "part")
@@ -143,16 +155,11 @@ def topk(
         alive.select(query_id, doc_id)
         .join(weighted, doc_id)
         .join(optional, [query_id, "term"])
-        .select(query_id, doc_id, (F.col("qtf") * F.col("w")).alias("part"))
-    )
-    scored = (
-        alive.unionByName(extra).groupBy(query_id, doc_id).agg(F.sum("part").alias("score"))
+        .select(query_id, doc_id, (F.col("qw") * F.col("w")).alias("part"))
     )
+    scored = alive.unionByName(extra).groupBy(query_id, doc_id).agg(F.sum("part").alias("score"))
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), F.asc(doc_id))
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).persist()
-    if not pad:
-        return best
-    return _pad(best, docs, doc_id, queries, query_id, k)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def _pad(best: DataFrame, docs: DataFrame, doc_id: str, queries: DataFrame, query_id: str, k: int) -> DataFrame:

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from citeweave.operators import graph
 from citeweave.plans.registry import query
+from citeweave.session import durable
 from citeweave.sources.tables import table
 
 # Search seeds of the background loop and how many the graph adds.
 DEFAULT_SEEDS = [
-    "medical alloys",
-    "biomaterials",
-    "implant bacterial infection",
-    "titanium alloy osseointegration",
-    "antibacterial coating implant",
+    "biomaterial surface modification immune response",
+    "titanium implant osseointegration",
+    "macrophage polarization biomaterials",
 ]
 GRAPH_SEEDS, MAX_SEEDS = 4, 8
 
@@ -191,7 +190,7 @@ SELECT round(sum(i / m - (d / (2 * m)) * (d / (2 * m))), 6) AS modularity FROM p
 """)
 def kg_modularity(spark, base):
     """Modularity of the partition by entity type."""
-    edges = graph.pairs(_inc(spark, base)).select("u", "v").distinct().persist()
+    edges = durable(graph.pairs(_inc(spark, base)).select("u", "v").distinct())
     member = _parts(spark, base).select("node", F.col("p_type").alias("cid"))
     return graph.modularity(edges, member).withColumn("modularity", F.round("modularity", 6))
 
@@ -199,7 +198,7 @@ def kg_modularity(spark, base):
 @query("kg_communities")
 def kg_communities(spark, base):
     """Modularity communities of the co-occurrence graph with their sizes."""
-    edges = graph.pairs(_inc(spark, base)).select("u", "v").distinct().persist()
+    edges = durable(graph.pairs(_inc(spark, base)).select("u", "v").distinct())
     return graph.communities(edges).groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
 
 
