@@ -11,6 +11,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from citeweave.functions import text as T
 from citeweave.operators import blocked
@@ -52,7 +53,7 @@ def spam(value: Column, words_run: int = SPAM_RUN, hyphen_run: int = SPAM_RUN) -
     return (F.length(value) >= SPAM_MIN_CHARS) & (_run_of_equal(plain, words_run) | F.exists(chains, looping))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def compression_ratio(text: pd.Series) -> pd.Series:
     """Characters per compressed byte (zlib has no JVM-side Spark function)."""
     return text.map(lambda t: None if t is None else len(t) / max(len(zlib.compress(t.encode())), 1))
