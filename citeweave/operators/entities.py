@@ -25,19 +25,31 @@ CAP_PER_CATEGORY, CAP_FIELDS = 12, ("entity", "claim", "evidence", "source", "co
 NAME_PATTERN = r"\b[A-Z][a-z]{3,}\b"
 
 
-def names(text: Column, pattern: str = NAME_PATTERN) -> Column:
-    """Offline recogniser: capitalised words, first spelling of each (case-insensitive)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    low = F.transform(found, F.lower)
-    return F.filter(found, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+def found_names(text: Column, pattern: str = NAME_PATTERN) -> Column:
+    """Offline recogniser: capitalised words in order of appearance."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def first_spellings(mentions: DataFrame, keys: list[str], pos: str, name: str) -> DataFrame:
+    """First mention of each name per key, upper and lower case taken as equal."""
+    low = mentions.withColumn("_low", F.lower(name))
+    return blocked.first_occurrence(low, [*keys, "_low"], pos).drop("_low")
+
+
+def _longest_run(items: Column) -> Column:
+    """Length of the longest run of equal neighbours, in one pass over the array."""
+    start = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(acc["prev"].eqNullSafe(x), acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("prev"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    return F.aggregate(items, start, step, lambda acc: acc["best"])
 
 
 def _run_of_equal(items: Column, length: int) -> Column:
     """True when ``length`` neighbouring items are equal."""
-    at = F.sequence(F.lit(0), F.size(items) - length)
-    same = lambda i: F.forall(
-        F.sequence(F.lit(1), F.lit(length - 1)), lambda j: F.get(items, i + j) == F.get(items, i))
-    return F.when(F.size(items) >= length, F.exists(at, same)).otherwise(F.lit(False))
+    return _longest_run(items) >= length
 
 
 def spam(value: Column, words_run: int = SPAM_RUN, hyphen_run: int = SPAM_RUN) -> Column:
