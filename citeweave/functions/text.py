@@ -97,36 +97,40 @@ def _compat_rules() -> tuple[dict[str, str], dict[str, str]]:
 
 
 @lru_cache(maxsize=1)
-def _absorbed_base() -> tuple[str, dict[str, str]]:
-    """Regex for a base character that canonical composition merges with a later mark.
-
-    A merged letter outside ASCII and outside the symbol table is dropped as a
-    whole; the few merges that give a mapped symbol are returned as a second
-    table of regex to symbol. A mark composes when it is the first of its
-    combining class after the base.
+def _composition() -> tuple[str, str, dict[str, str]]:
+    """Regular expressions for what canonical composition does to a base and its marks.
+
+    A mark composes when it is the first of its combining class after the base. The
+    first pattern matches marks that are not; the second a base that merges into a
+    letter outside ASCII and outside the symbol table, which is dropped as a whole;
+    the table holds the few merges that give a mapped symbol. Covers the combining
+    blocks used with Latin and Greek letters.
     """
-    bases = [chr(c) for c in range(0x21, 0x7F)] + sorted(symbol_table())
+    blocks = [(0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100)]
     marks = [
-        chr(c) for c in range(0x300, 0x3100)
+        chr(c) for lo, hi in blocks for c in range(lo, hi)
         if unicodedata.combining(chr(c)) and unicodedata.normalize("NFKC", chr(c)) == chr(c)
     ]
-    by_class: dict[int, list[str]] = {}
-    for m in marks:
-        by_class.setdefault(unicodedata.combining(m), []).append(m)
+    bases = [chr(c) for c in range(0x21, 0x7F)] + sorted(symbol_table())
     every = _escape(marks)
-    parts = []
-    symbols: dict[str, str] = {}
-    for members in by_class.values():
-        others = f"[[{every}]&&[^{_escape(members)}]]*"
+    later, gone, symbols = [], [], {}
+    for cls in sorted({unicodedata.combining(m) for m in marks}):
+        members = [m for m in marks if unicodedata.combining(m) == cls]
+        rules = []
         for mark in members:
             merged = {b: unicodedata.normalize("NFC", b + mark) for b in bases}
-            gone = [b for b, m in merged.items() if len(m) == 1 and m not in symbol_table()]
-            if gone:
-                parts.append(f"[{_escape(gone)}](?={others}{_escape(mark)})")
+            lost = [b for b, m in merged.items() if len(m) == 1 and m not in symbol_table()]
+            if lost:
+                rules.append(f"[{_escape(lost)}](?=[{every}]*{_escape(mark)})")
             for base, m in merged.items():
                 if m in symbol_table():
-                    symbols[f"[{_escape(base)}](?={others}{_escape(mark)})"] = m
-    return "|".join(parts), symbols
+                    symbols[f"[{_escape(base)}](?=[{every}]*{_escape(mark)})"] = m
+                    rules.append("")
+        if rules:
+            k = _escape(members)
+            later.append(f"(?<=[{k}][[{every}]&&[^{k}]]{{0,40}})[{k}]")
+            gone.extend(r for r in rules if r)
+    return "|".join(later), "|".join(gone), symbols
 
 
 def _replace_all(text: Column, table: dict[str, str]) -> Column:
@@ -149,7 +153,8 @@ def ascii_fold(text: Column) -> Column:
         text.rlike(f"[{_escape(multi)}]"), _replace_all(text, multi)
     ).otherwise(text)
     compat = F.translate(compat, "".join(single), "".join(single.values()))
-    gone, composed = _absorbed_base()
+    later, gone, composed = _composition()
+    compat = F.regexp_replace(compat, later, "")
     for pattern, symbol in composed.items():
         compat = F.regexp_replace(compat, pattern, symbol)
     merged = F.regexp_replace(compat, gone, "")

@@ -100,25 +100,29 @@ def archive_papers(raw: DataFrame) -> DataFrame:
     flag = lambda p: _json(p) == "Y"
     whole = lambda p: F.coalesce(_json(p).try_cast("int"), F.lit(0))
     return raw.select(
-        "search_term", "rank", _json("$.pmcid").alias("pmcid"), _json("$.pmid").alias("pmid"),
-        _json("$.doi").alias("doi"), _json("$.title").alias("title"), _json("$.authorString").alias("authors"),
-        F.trim(F.substring_index(_json("$.authorString"), ",", 1)).alias("first_author"),
-        _json("$.journalTitle").alias("journal"), _json("$.pubYear").alias("year"),
-        flag("$.isOpenAccess").alias("is_open_access"), flag("$.inEPMC").alias("in_archive"),
-        flag("$.hasPDF").alias("has_pdf"), whole("$.citedByCount").alias("cited_by"), _json("$.abstractText").alias("abstract"))
+        "search_term", "rank", _json("$.doi").alias("doi"), _json("$.pmid").alias("pmid"),
+        _json("$.pmcid").alias("pmcid"), F.trim(_json("$.title")).alias("title"),
+        _json("$.authorString").alias("authors"), _json("$.journalTitle").alias("journal"),
+        whole("$.pubYear").alias("year"), F.trim(_json("$.abstractText")).alias("abstract"),
+        whole("$.citedByCount").alias("cited_by"), flag("$.isOpenAccess").alias("is_oa"),
+        _json("$.source").alias("source"), (flag("$.inPMC") | flag("$.hasPDF")).alias("has_full_text"),
+        F.trim(F.substring_index(_json("$.authorString"), ",", 1)).alias("first_author"))
 
 
 def graph_papers(raw: DataFrame) -> DataFrame:
     """Normal form of the citation graph's records, at most ten authors."""
-    names = F.from_json(F.get_json_object("body", "$.authors"), "array<struct<name:string>>")
-    whole = lambda p: F.coalesce(_json(p).try_cast("int"), F.lit(0))
+    arr = lambda p, t: F.from_json(F.get_json_object("body", p), t)
+    names = F.transform(arr("$.authors", "array<struct<name:string>>"), lambda a: F.coalesce(a["name"], F.lit("")))
     return raw.select(
-        "search_term", "rank", _json("$.paperId").alias("s2_paper_id"), _json("$.title").alias("title"),
-        _json("$.abstract").alias("abstract"), _json("$.year").try_cast("int").alias("year"),
+        "search_term", "rank", _json("$.paperId").alias("paper_id"), _json("$.title").alias("title"),
+        _json("$.abstract").alias("abstract"), _json("$.tldr.text").alias("tldr"),
+        _json("$.year").try_cast("int").alias("year"), _json("$.url").alias("url"),
         _json("$.externalIds.DOI").alias("doi"), _json("$.externalIds.PubMed").alias("pmid"),
-        _json("$.venue").alias("venue"), whole("$.citationCount").alias("citations"),
-        _json("$.openAccessPdf.url").alias("pdf_url"),
-        F.slice(F.transform(F.coalesce(names, F.array()), lambda a: a["name"]), 1, 10).alias("authors"))
+        F.slice(F.coalesce(names, F.array().cast("array<string>")), 1, 10).alias("authors"),
+        _json("$.journal.name").alias("journal"), _json("$.citationCount").try_cast("int").alias("citation_count"),
+        _json("$.openAccessPdf.url").alias("open_access_pdf"),
+        F.coalesce(arr("$.publicationTypes", "array<string>"), F.array().cast("array<string>")).alias("pub_types"),
+        arr("$.embedding.vector", "array<float>").alias("embedding"))
 
 
 def discovery(raw: DataFrame) -> DataFrame:
