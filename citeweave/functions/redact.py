@@ -80,8 +80,9 @@ def redact(df: DataFrame, text: str, rules: list[Rule], out: str, count: str, pe
     step = df.select(*keep, F.col(text).alias("_t"), F.lit(0).alias("_n"))
     done: list[str] = []
     for rule in rules:
-        nxt = F.when(_applies(F.col("_t"), rule), F.regexp_replace("_t", rule.pattern, rule.replacement)) \
-            .otherwise(F.col("_t"))
+        # Bound to a lambda variable, the text occurs once per step however plans are merged.
+        nxt = F.get(F.transform(F.array("_t"), lambda t: F.when(
+            _applies(t, rule), F.regexp_replace(t, rule.pattern, rule.replacement)).otherwise(t)), 0)
         step = step.select(*keep, *done, "_t", "_n", nxt.alias("_u"))
         hits = F.when(F.col("_u") != F.col("_t"), F.regexp_count("_t", F.lit(rule.pattern))).otherwise(0)
         name = f"n_{rule.label.lower()}"
