@@ -75,8 +75,8 @@ def draft(rows: DataFrame, group: list[str], per_group: int = 8) -> DataFrame:
 
 def check(lines: DataFrame, rows: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
     """Similarity per draft line and score per owner, against the retrieved context."""
-    number = F.row_number().over(Window.orderBy(owner, "line_no")).cast("long")
-    claims = durable(lines.select(owner, "line_no", "line", number.alias("cid"), F.col("claim").alias("c")))
+    name = F.concat_ws(":", F.col(owner).cast("string"), F.col("line_no").cast("string"))
+    claims = durable(lines.select(owner, "line_no", "line", name.alias("cid"), F.col("claim").alias("c")))
     proof = durable(anchoring.numbered(
         rows.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id",
         T.sentences(T.ascii_fold(F.col("text"))), "sid", "s").select("sid", "s"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 from citeweave.operators import bibliography as bib
+from citeweave.operators import blocked
 from citeweave.operators import figures as fig
 from citeweave.operators import metrics as M
 from citeweave.plans import ansi as A
@@ -144,8 +145,9 @@ def _joined(spark, base):
         "item_id", F.posexplode(T.claims(T.ascii_fold(F.col("text")))).alias("pos", "c"))
     w = Window.partitionBy("item_id").orderBy("pos")
     firsts = rows.filter("pos = 0").select("item_id", "c")
-    order = Window.orderBy("item_id")
-    follow = firsts.withColumn("after", F.lead("c").over(order)).select("item_id", "after")
+    # Reading backwards, the next question is the last one before; blocks keep this off a single task.
+    back = firsts.withColumn("back", -F.col("item_id"))
+    follow = blocked.last_before(back, [], "back", F.col("c"), "after").select("item_id", "after")
     out = rows.join(follow, "item_id").withColumn("nxt", F.coalesce(F.lead("c").over(w), F.col("after"), F.lit("")))
     return out.select(F.concat_ws(" ", "c", F.array_join(F.slice(T.words(F.col("nxt")), 1, 2), " ")).alias("q"))
 
