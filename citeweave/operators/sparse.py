@@ -137,18 +137,25 @@ def pruned_topk(qt: DataFrame, weighted: DataFrame, query_id: str, doc_id: str,
     )
     needed = graded.filter(~F.col("optional")).select(query_id, "term", "qw")
     optional = graded.filter("optional").select(query_id, "term", "qw")
-    base = (
+    base = durable(
         needed.join(weighted, "term")
         .groupBy(query_id, doc_id).agg(F.sum(F.col("qw") * F.col("w")).alias("part"))
     )
-    # Candidates that could still reach theta with every optional word present.
+    # These sums bound the k-th score once more, and mostly much closer.
+    closer = (
+        base.withColumn("r", F.row_number().over(nth)).filter(F.col("r") <= k)
+        .groupBy(query_id)
+        .agg(F.when(F.count(F.lit(1)) == k, F.min("part")).alias("theta2"))
+    )
     slack = graded.groupBy(query_id).agg(
         F.coalesce(F.sum(F.when(F.col("optional"), F.col("cap"))), F.lit(0.0)).alias("slack"),
         F.first("theta").alias("theta"),
     )
-    alive = durable(
-        base.join(slack, query_id)
-        .filter(F.col("theta").isNull() | (F.col("part") + F.col("slack") >= F.col("theta") * (1 - 1e-9)))
+    # Candidates that could still reach the bound with every optional word present.
+    least = F.greatest("theta", "theta2")
+    alive = (
+        base.join(slack, query_id).join(closer, query_id, "left")
+        .filter(least.isNull() | (F.col("part") + F.col("slack") >= least * (1 - 1e-9)))
         .select(query_id, doc_id, "part")
     )
     extra = (
