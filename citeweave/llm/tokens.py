@@ -53,7 +53,8 @@ class Lengths:
         self.state, self.frequent, self.cache, self.longest = state, frequent, cache, longest
 
     def encode(self, units: list[str]) -> list[int]:
-        return [len(ids) for ids in self.state["sp"].encode(units, num_threads=1)]
+        # The empty unit is a single blank at the end of a text: one mark, one token.
+        return [len(ids) if u else 1 for u, ids in zip(units, self.state["sp"].encode(units, num_threads=1), strict=True)]
 
     def count(self, text: str) -> int:
         units = pretokens(text)
