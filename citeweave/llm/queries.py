@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import langid, mixing, tokens
+from citeweave.llm import langid, mixing, order_minhash, tokens
 from citeweave.llm.common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,8 @@ SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM a
 """)
 def op3_mixing(spark: SparkSession, base: str) -> DataFrame:
     return mixing.take(documents(spark, base, "doc_id", "text", "source"))
+
+
+@query("op4_order_minhash")
+def op4_order_minhash(spark: SparkSession, base: str) -> DataFrame:
+    return order_minhash.fingerprints(documents(spark, base, "doc_id", "text"))
