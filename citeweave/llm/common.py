@@ -69,6 +69,34 @@ def odd_numbers(n: int, seed: int, dtype=np.uint32) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, top, size=n, dtype=dtype, endpoint=True) | dtype(1)
 
 
+#: Bits of an id filter; it marks two of them for each value.
+FILTER_BITS = 1 << 24
+
+
+def id_filter(values: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of fixed size (2 MB) over the 64-bit hashes in a column.
+
+    Bits are gathered by Spark as 64-bit words, so at most 2^18 words reach the
+    driver whatever the number of values. When it fills up it lets more rows pass and
+    the joins behind it do the rest; no result depends on it.
+    """
+    bit = F.explode(F.array(*[
+        F.pmod(F.shiftrightunsigned(F.col(column), k), F.lit(FILTER_BITS)) for k in (0, 32)])).alias("bit")
+    words = (
+        values.select(bit).groupBy(F.shiftright("bit", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas())
+    table = np.zeros(FILTER_BITS >> 6, dtype=np.int64)
+    table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each 64-bit hash whether the filter may hold it."""
+    h = hashes.view(np.uint64)
+    size = np.uint64(FILTER_BITS - 1)
+    return bits[(h & size).astype(np.int64)] & bits[((h >> np.uint64(32)) & size).astype(np.int64)]
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"]
