@@ -23,14 +23,22 @@ from pyspark.sql import types as T
 from citeweave.llm.common import components, folded_words, id_filter, may_hold, mix64, odd_numbers, texts
 from citeweave.session import durable
 
-#: Trees, entries that neighbours share at least, entries of a tree's order.
+#: Trees, entries that neighbours share at least, entries of a tree's order. Crowded
+#: regions are told apart by the long orders: what is likest stands next to it.
 TREES = 24
 LEAST = 4
-DEPTH = 8
+DEPTH = 28
 #: Signature entries: every tree starts with entries of its own.
 ENTRIES = TREES * LEAST
 #: Neighbours on each side that a set is compared with.
 NEAR = 3
+#: A set with so many candidates stands in a crowded region. What is still apart there is
+#: compared by signature with the rows around it in every tree, and the ``PICK`` likest
+#: of a tree whose estimate is less than ``SLACK`` below the threshold are confirmed.
+CROWD = 4 * NEAR
+AROUND = 64
+PICK = 4
+SLACK = 0.12
 #: Shingles hashed at once.
 SPAN = 4096
 
@@ -80,46 +88,68 @@ def signature(sets: np.ndarray) -> np.ndarray:
     return (mix64(least.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
+def label_bytes(rows: np.ndarray) -> list[bytes]:
+    """A label per tree: 16 bits of each of the first ``LEAST`` entries, 8 bits of the deeper ones.
+
+    Two bytes first, so that strangers do not meet by chance; below, a chance match in
+    one entry only changes the order among sets that are near anyway.
+    """
+    head = rows[:, :LEAST].astype(">u2").view(np.uint8)
+    return [r.tobytes() for r in np.concatenate([head, (rows[:, LEAST:] & 0xFF).astype(np.uint8)], axis=1)]
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``id, n_shingles, set_key, trees``: a 128-bit key of the set, and each tree's label; null for empty sets."""
+    """``id, n_shingles, set_key, sig``: a 128-bit key of the set and its signature; null for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, labels = [], [], []
+            sizes, keys, sigs = [], [], []
             for t in texts(batch):
                 got = shingles(t, width)
                 sizes.append(len(got))
-                if len(got):
-                    keys.append(xxhash.xxh3_128_digest(got.tobytes()))
-                    # Big-endian, so that labels sort as bytes as they do entry by entry.
-                    labels.append([row.astype(">u2").tobytes() for row in signature(got)[ORDERS]])
-                else:
-                    keys.append(None)
-                    labels.append(None)
+                keys.append(xxhash.xxh3_128_digest(got.tobytes()) if len(got) else None)
+                sigs.append(signature(got).tobytes() if len(got) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(labels, pa.list_(pa.binary()))],
-                ["id", "n_shingles", "set_key", "trees"])
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+                ["id", "n_shingles", "set_key", "sig"])
 
     return docs.mapInArrow(run, T.StructType([
         docs.schema["id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()),
-        T.StructField("trees", T.ArrayType(T.BinaryType()))]))
+        T.StructField("sig", T.BinaryType())]))
+
+
+def in_trees(heads: DataFrame) -> DataFrame:
+    """Each row of (id, sig, ...) once per tree with ``tree, label``, in the order of the forest.
+
+    Rows are range-partitioned and sorted by tree, label and id: a region with very
+    many sets is split over as many partitions as it fills, and no partition or
+    region is held as a whole.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = pa.array(np.repeat(np.arange(batch.num_rows), TREES))
+            made = [x for sig in batch.column("sig").to_pylist() for x in label_bytes(np.frombuffer(sig, dtype=np.uint16)[ORDERS])]
+            trees = pa.array(np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows))
+            rest = [batch.column(c).take(at) for c in kept]
+            yield pa.RecordBatch.from_arrays([trees, pa.array(made, pa.binary()), *rest], ["tree", "label", *kept])
+
+    kept = heads.columns if "root" in heads.columns else ["id"]
+    schema = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("label", T.BinaryType()), *[heads.schema[c] for c in kept]])
+    return heads.mapInArrow(run, schema).repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
 
 
 def common_entries(labels: list[bytes]) -> np.ndarray:
     """Number of leading entries that each label shares with the one after it."""
-    rows = np.frombuffer(b"".join(labels), dtype=np.uint16).reshape(len(labels), DEPTH)
-    return np.cumprod(rows[1:] == rows[:-1], axis=1).sum(axis=1)
+    rows = np.frombuffer(b"".join(labels), dtype=np.uint8).reshape(len(labels), LEAST + DEPTH)
+    same = rows[1:] == rows[:-1]
+    same = np.concatenate([same[:, 0:2 * LEAST:2] & same[:, 1:2 * LEAST:2], same[:, 2 * LEAST:]], axis=1)
+    return np.where(same.all(axis=1), DEPTH, same.argmin(axis=1))
 
 
-def neighbours(labels: DataFrame) -> DataFrame:
-    """``a, b, depth``: candidates from (tree, label, id), with the depth of their common prefix.
+def neighbours(heads: DataFrame) -> DataFrame:
+    """``a, b, depth``: candidates among (id, sig), with the depth of their common prefix.
 
-    Rows are range-partitioned and sorted by tree, label and id: a region with very
-    many sets is split over as many partitions as it fills, and no partition or
-    region is held as a whole. A row is compared with the ``NEAR`` rows after it while
-    they share ``LEAST`` entries.
+    A row is compared with the ``NEAR`` rows after it in its tree while they share ``LEAST`` entries.
     """
-    ordered = labels.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list] = ([], [], [])
         for batch in batches:
@@ -145,7 +175,48 @@ def neighbours(labels: DataFrame) -> DataFrame:
                     [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(depth).astype(np.int32))],
                     ["a", "b", "depth"])
 
-    return ordered.mapInArrow(run, "a long, b long, depth int")
+    return in_trees(heads.select("id", "sig")).mapInArrow(run, "a long, b long, depth int")
+
+
+def around(rooted: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: likely pairs between components in crowded regions, from (id, sig, root, n).
+
+    ``root`` is the component found so far and ``n`` its size. Each row looks for the
+    likest sets of other, not smaller components among the ``AROUND`` rows before and
+    after it, judged by whole signatures.
+    """
+    lowest = percent / 100 - SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, ENTRIES)
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "id", "root", "n")] + [sigs]
+            fresh = 0 if held is None else len(held[0])
+            tree, ids, root, n, sigs = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            held = [x[-AROUND:] for x in (tree, ids, root, n, sigs)]
+            me, other, like = [], [], []
+            for gap in range(1, min(AROUND, len(ids) - 1) + 1):
+                i = np.flatnonzero((tree[:-gap] == tree[gap:]) & (root[:-gap] != root[gap:]) & (np.arange(len(ids) - gap) + gap >= fresh))
+                j = i + gap
+                est = (sigs[i] == sigs[j]).mean(axis=1)
+                good = est >= lowest
+                i, j, est = i[good], j[good], est[good]
+                for x, y in ((i, j), (j, i)):
+                    smaller = n[x] <= n[y]
+                    me.append(x[smaller]), other.append(y[smaller]), like.append(est[smaller])
+            if not me:
+                continue
+            me, other, like = (np.concatenate(x) for x in (me, other, like))
+            order = np.lexsort((-like, me))
+            me, other = me[order], other[order]
+            first = np.concatenate(([True], me[1:] != me[:-1])) if len(me) else np.zeros(0, dtype=bool)
+            nth = np.arange(len(me)) - np.maximum.accumulate(np.where(first, np.arange(len(me)), 0))
+            me, other = ids[me[nth < PICK]], ids[other[nth < PICK]]
+            if len(me):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(me, other)), pa.array(np.maximum(me, other))], ["a", "b"])
+
+    return in_trees(rooted).select("tree", "id", "root", "n", "sig").mapInArrow(run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -189,6 +260,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "pa", "pb").mapInArrow(check, "a long, b long")
 
 
+def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs whose ends are not yet in one component of (node, root)."""
+    roots = durable(joined)
+    return durable(
+        pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+        .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+
+
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85,
 ) -> DataFrame:
@@ -209,31 +289,36 @@ def near_duplicates(
 
     # Exact copies first: one member stands for all of an equal set.
     full = drawn.filter("set_key is not null and id is not null")
-    heads = durable(full.groupBy("set_key").agg(F.min_by(F.struct("id", "trees"), "id").alias("h")).select("set_key", "h.id", "h.trees"))
-    labels = heads.select(F.posexplode("trees").alias("tree", "label"), "id")
+    heads = durable(full.groupBy("set_key").agg(F.min_by(F.struct("id", "sig"), "id").alias("h")).select("set_key", "h.id", "h.sig"))
     member = durable(full.select("id", "set_key").join(heads.select("set_key", F.col("id").alias("head")), "set_key").select("id", "head"))
 
     # Each set with the neighbour that it meets in most trees first, then all pairs that this leaves apart.
-    found = durable(neighbours(labels).filter("a <> b").groupBy("a", "b").agg(
+    found = durable(neighbours(heads).filter("a <> b").groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("trees"), F.max("depth").alias("depth")))
     rank = F.struct("trees", "depth", F.struct("a", "b").alias("pair"))
+    sides = found.select(F.explode(F.array("a", "b")).alias("id"), rank.alias("r"))
     best = durable(
-        found.select(F.explode(F.array("a", "b")).alias("me"), rank.alias("r")).groupBy("me").agg(F.max("r").alias("r"))
-        .select("r.pair.a", "r.pair.b").distinct())
-    sets = full_sets(rows, found.select(F.explode(F.array("a", "b")).alias("id")), width)
-    sure = durable(confirmed(best, sets, percent))
-    joined = durable(components(sure))
-    rest = durable(
-        found.select("a", "b").join(best, ["a", "b"], "left_anti")
-        .join(joined.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-        .join(joined.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    more = confirmed(rest, sets, percent)
+        sides.groupBy("id").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("candidates"))
+        .select("id", "candidates", "r.pair.a", "r.pair.b"))
+    sets = full_sets(rows, best.select("id"), width)
+    first = best.select("a", "b").distinct()
+    links = durable(confirmed(first, sets, percent))
+    links = durable(links.unionByName(confirmed(apart(found.select("a", "b").join(first, ["a", "b"], "left_anti"), components(links)), sets, percent)))
+
+    # Crowded regions, where neighbours in order are but a part of the candidates.
+    joined = durable(components(links))
+    crowded = best.filter(F.col("candidates") >= CROWD).select("id").join(joined.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", F.coalesce("root", "id").alias("root"))
+    rooted = durable(crowded)
+    counts = durable(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
+    likely = durable(around(
+        heads.select("id", "sig").join(rooted.join(counts, "root"), "id").select("id", "sig", "root", "n"), percent).distinct())
+    links = links.unionByName(confirmed(likely.join(found, ["a", "b"], "left_anti"), sets, percent))
 
     # Rows with one id but different sets tie these sets together.
     twice = member.groupBy("id").agg(F.min("head").alias("b"), F.max("head").alias("c")).filter("b <> c").select("id", "b")
     ties = member.join(twice, "id").select(F.col("head").alias("a"), "b")
-    roots = durable(components(sure.unionByName(more).unionByName(ties)))
+    roots = durable(components(links.unionByName(ties)))
     final = durable(
         member.join(roots.withColumnRenamed("node", "head"), "head", "left")
         .groupBy("id").agg(F.min(F.coalesce("root", "head")).alias("root")))
