@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import forest, langid, mixing, order_minhash, tokens
+from citeweave.llm import forest, langid, lines, mixing, order_minhash, tokens
 from citeweave.llm.common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,8 @@ def op4_order_minhash(spark: SparkSession, base: str) -> DataFrame:
 @query("op6_lsh_forest")
 def op6_lsh_forest(spark: SparkSession, base: str) -> DataFrame:
     return forest.near_duplicates(documents(spark, base, "doc_id", "text"), width=3, percent=85)
+
+
+@query("op9_fuzzy_lines")
+def op9_fuzzy_lines(spark: SparkSession, base: str) -> DataFrame:
+    return lines.dedup_lines(documents(spark, base, "doc_id", "text"))
