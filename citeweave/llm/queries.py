@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import forest, langid, lines, mixing, order_minhash, tokens
+from citeweave.llm import forest, langid, lines, mixing, order_minhash, spaced_seeds, tokens
 from citeweave.llm.common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,8 @@ def op6_lsh_forest(spark: SparkSession, base: str) -> DataFrame:
 @query("op9_fuzzy_lines")
 def op9_fuzzy_lines(spark: SparkSession, base: str) -> DataFrame:
     return lines.dedup_lines(documents(spark, base, "doc_id", "text"))
+
+
+@query("op8_spaced_seeds")
+def op8_spaced_seeds(spark: SparkSession, base: str) -> DataFrame:
+    return spaced_seeds.contaminated(documents(spark, base, "doc_id", "text"), spark.read.parquet(f"{base}/benchmark.parquet"))
