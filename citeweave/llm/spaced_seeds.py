@@ -24,13 +24,12 @@ from pyspark.sql import types as T
 from citeweave.llm.common import folded_words, id_filter, may_hold, mix64, texts
 from citeweave.session import durable
 
-#: Masks: positions that a seed looks at, among ``SPAN`` tokens. Wherever two of 13
+#: Masks: positions that a seed looks at, among ``SPAN`` tokens. Wherever two of ten
 #: successive tokens are substituted, one of these seeds still matches.
 MASKS = (
-    (0, 2, 3, 4, 6, 8, 9, 11), (0, 1, 2, 4, 6, 7, 10, 11), (0, 1, 4, 5, 7, 8, 9, 11), (2, 3, 5, 6, 7, 9, 10, 11),
-    (0, 2, 3, 4, 7, 8, 9, 10), (0, 1, 2, 3, 4, 5, 6, 11), (0, 2, 5, 6, 8, 9, 10, 11),
+    (0, 1, 4, 6, 7, 8), (0, 2, 3, 4, 5, 8), (0, 1, 2, 3, 6, 8), (0, 2, 4, 5, 6, 7), (1, 2, 4, 5, 6, 8), (2, 3, 4, 6, 7, 8),
 )
-SPAN = 12
+SPAN = 9
 #: A stretch counts from so many tokens on, if so many percent of them agree.
 STRETCH = 13
 AGREE = 80
