@@ -12,6 +12,7 @@ from the benchmark and has one size however long that is.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeweave.llm.common import folded_words, id_filter, may_hold, mix64, texts
+from citeweave.llm.common import id_filter, may_hold, mix64, texts
 from citeweave.session import durable
 
 #: Masks: positions that a seed looks at, among ``SPAN`` tokens. Wherever two of ten
@@ -37,8 +38,12 @@ AGREE = 80
 SHORTEST = 5
 
 
+_TOKEN = re.compile(r"\w+")
+
+
 def word_hashes(text: str) -> np.ndarray:
-    words = folded_words(text)
+    """Hashes of the tokens: runs of letters, digits and underscores in lower case, so that neither case nor marks count."""
+    words = _TOKEN.findall(text.lower())
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
@@ -189,7 +194,7 @@ def contaminated(
 ) -> DataFrame:
     """Per document: ``doc_id, contaminated, n_items, items, longest, agree``.
 
-    Tokens are words with A-Z lower-cased. An item counts if some stretch of
+    Tokens are runs of letters, digits and underscores, lower-cased. An item counts if some stretch of
     ``STRETCH`` or more tokens of it lies in the document with ``AGREE`` percent of
     them equal, position by position; an item of fewer tokens counts if it lies
     there whole with ``AGREE`` percent equal (under ``SPAN`` tokens: all equal), and
