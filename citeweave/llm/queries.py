@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import forest, langid, lines, mixing, order_minhash, spaced_seeds, tokens
+from citeweave.llm import credentials, forest, langid, lines, mixing, order_minhash, spaced_seeds, tokens
 from citeweave.llm.common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,39 @@ def op9_fuzzy_lines(spark: SparkSession, base: str) -> DataFrame:
 @query("op8_spaced_seeds")
 def op8_spaced_seeds(spark: SparkSession, base: str) -> DataFrame:
     return spaced_seeds.contaminated(documents(spark, base, "doc_id", "text"), spark.read.parquet(f"{base}/benchmark.parquet"))
+
+
+def _found_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, (upto - length(m))::BIGINT AS start, upto::BIGINT AS "end", v FROM (
+      SELECT *, sum(length(m) + length(g)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (
+        SELECT doc_id, source, unnest(m) AS m, unnest(v) AS v, unnest(g[1:len(m)]) AS g, unnest(range(len(m))) AS i FROM (
+          SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '{quoted}', 0) AS m,
+            regexp_extract_all(coalesce(text, ''), '{quoted}', {group}) AS v,
+            string_split_regex(coalesce(text, ''), '{quoted}') AS g FROM documents)))
+    WHERE length(v) >= {least}"""
+
+
+_MIXED_SQL = " AND ".join(f"regexp_matches(v, '{p}')" for p in credentials.MIXED)
+
+
+@query("op7_secret_scan", f"""
+WITH base AS ({" UNION ALL ".join(_found_sql(r, *k) for r, k in enumerate(credentials.BASE))}),
+loose AS (SELECT * FROM ({_found_sql(3, *credentials.LOOSE)}) WHERE {_MIXED_SQL}),
+al AS (SELECT * FROM base UNION ALL SELECT * FROM loose),
+owned AS (SELECT v, count(DISTINCT coalesce(source, '~')) AS n_owners FROM al GROUP BY v),
+shown AS (SELECT al.*, n_owners FROM al JOIN owned USING (v) WHERE kind <> 'loose' OR (n_owners = 1 AND NOT EXISTS (
+  SELECT 1 FROM base b WHERE b.doc_id = al.doc_id AND b.start < al."end" AND al.start < b."end"))),
+agg AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) FILTER (kind <> 'loose') AS base_spans,
+  string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) AS spans,
+  count(*) FILTER (kind = 'loose') AS n_loose, count(*) FILTER (n_owners >= {credentials.WIDE}) AS n_shared,
+  count(*) FILTER (n_owners = 1) AS n_live FROM shown GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_loose, 0) AS n_loose,
+  coalesce(n_shared, 0) AS n_shared, coalesce(n_live, 0) AS n_live
+FROM documents LEFT JOIN agg USING (doc_id)
+""")
+def op7_secret_scan(spark: SparkSession, base: str) -> DataFrame:
+    return credentials.scan(documents(spark, base, "doc_id", "text", "source"))
