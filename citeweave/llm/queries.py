@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import credentials, forest, langid, lines, logbilinear, mixing, order_minhash, spaced_seeds, tokens
+from citeweave.llm import credentials, forest, langid, licenses, lines, logbilinear, mixing, order_minhash, spaced_seeds, tokens
 from citeweave.llm.common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,3 +140,8 @@ def op7_secret_scan(spark: SparkSession, base: str) -> DataFrame:
 def op5_log_bilinear(spark: SparkSession, base: str) -> DataFrame:
     docs = documents(spark, base, "doc_id", "text").withColumn("held_out", fold("doc_id", 7) == 2)
     return logbilinear.scores(docs, "held_out")
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, base: str) -> DataFrame:
+    return licenses.scan(documents(spark, base, "doc_id", "text"))
