@@ -328,3 +328,15 @@ def near_duplicates(
             F.col("id").alias("doc_id"), "n_shingles", F.coalesce("root", "id").alias("component_id"),
             F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,
+) -> DataFrame:
+    """The documents that stand for their component (see ``near_duplicates``); all columns stay.
+
+    Rows that repeat a kept id all stay.
+    """
+    found = near_duplicates(docs, doc_id=doc_id, text=text, width=width, percent=percent)
+    gone = durable(found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, docs[doc_id].cast("long") == F.col("__gone"), "left_anti").select(docs.columns)
