@@ -105,7 +105,7 @@ def listed(spans: Column) -> Column:
 
 def scan(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source",
-    wide: int = WIDE, salts: int = 16,
+    wide: int = WIDE,
 ) -> DataFrame:
     """Per document: base counts and digest, all spans, and how many spans are copied examples or look live.
 
@@ -123,11 +123,11 @@ def scan(
     spans = durable(candidates(rows))
     some = spans.filter(F.size("spans") > 0)
     counts = durable(ownership(some))
-    # Copies of a document ask alike: one question per row key. Hot values are salted.
-    asked = some.select("row", F.explode("spans.hash").alias("hash")).distinct().withColumn("salt", F.pmod("row", F.lit(salts)).cast("int"))
-    told = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Copies of a document ask alike: one question per row key. Both sides are tables, so
+    # that the adaptive planner can split the questions after a value that very many have.
+    asked = durable(some.select("row", F.explode("spans.hash").alias("hash")).distinct())
     verdict = durable(
-        asked.join(told, ["hash", "salt"]).groupBy("row").agg(
+        asked.join(counts, "hash").groupBy("row").agg(
             F.map_from_entries(F.collect_list(F.struct("hash", "n_owners"))).alias("owners")))
     joined = spans.join(verdict, "row", "left")
     base = F.filter("spans", lambda x: x["kind"] != "loose")
