@@ -10,26 +10,30 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern, its replacement, and literals one of which every match contains."""
+    """A pattern, its replacement, and what every match contains: one of some literals, or a digit.
+
+    A rule that declares neither is applied to every text.
+    """
 
     label: str
     pattern: str
     replacement: str
     hints: tuple[str, ...] = ()
+    digit: bool = False
 
 
 # Built-in patterns in the order in which they apply.
 BOUNDARY = [
     Rule("MRN", r"\bMR[#\s]*\d{6,12}\b", "[REDACTED-MRN]", ("MR",)),
-    Rule("SSN", r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b", "[REDACTED-SSN]"),
+    Rule("SSN", r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b", "[REDACTED-SSN]", digit=True),
     Rule("DOB", r"\bDOB:?\s*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", "[REDACTED-DOB]", ("DOB",)),
     Rule("DOB2", r"\bDOB:?\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}\b", "[REDACTED-DOB]", ("DOB",)),
     Rule("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED-EMAIL]", ("@",)),
-    Rule("PHONE", r"\b(\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "[REDACTED-PHONE]"),
-    Rule("IPV4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[REDACTED-IP]"),
+    Rule("PHONE", r"\b(\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "[REDACTED-PHONE]", digit=True),
+    Rule("IPV4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[REDACTED-IP]", digit=True),
     Rule("API_KEY", r"\b(sk|pk|api)[-_][a-zA-Z0-9_-]{20,}\b", "[REDACTED-KEY]",
          ("sk-", "sk_", "pk-", "pk_", "api-", "api_")),
-    Rule("GRANT", r"\b[RUK]\d{2}[A-Z]{2}\d{6}\b", "[REDACTED-GRANT]"),
+    Rule("GRANT", r"\b[RUK]\d{2}[A-Z]{2}\d{6}\b", "[REDACTED-GRANT]", digit=True),
     Rule("GRANT2", r"\bGrant\s*#?\s*[A-Z0-9]+-\d{4,}\b", "[REDACTED-GRANT]", ("Grant",)),
     Rule("HOSPITAL", r"\b\w+\s+(Hospital|Medical Center|Clinic|Infirmary)\b", "[REDACTED-FACILITY]",
          ("Hospital", "Medical Center", "Clinic", "Infirmary")),
@@ -51,7 +55,7 @@ SITE_PATTERNS = [
     r"SPECIMEN-\d{5,8}",
     r"BIOBANK-\d{4,6}",
 ]
-SITE = [Rule(f"SITE{i}", p, SITE_TAG) for i, p in enumerate(SITE_PATTERNS)]
+SITE = [Rule(f"SITE{i}", p, SITE_TAG, digit=True) for i, p in enumerate(SITE_PATTERNS)]
 
 
 def custom_rules(lines: list[str]) -> list[Rule]:
@@ -66,7 +70,7 @@ def _applies(text: Column, rule: Rule) -> Column:
         for h in rule.hints[1:]:
             hit = hit | F.contains(text, F.lit(h))
         return hit
-    return text.rlike(r"\d")
+    return text.rlike(r"\d") if rule.digit else F.lit(True)
 
 
 def redact(df: DataFrame, text: str, rules: list[Rule], out: str, count: str, per_rule: bool = False) -> DataFrame:
@@ -96,9 +100,18 @@ def redact(df: DataFrame, text: str, rules: list[Rule], out: str, count: str, pe
 def mask_spans(text: Column, spans: Column) -> Column:
     """Replace ``spans(start, end, label)`` (0-based, end exclusive) by ``[REDACTED-LABEL]``.
 
-    Spans are applied from right to left, so earlier offsets stay valid.
+    Overlapping spans are one span under the label of the first. Spans are applied
+    from right to left, so earlier offsets stay valid.
     """
-    ordered = F.reverse(F.array_sort(spans))
+    nothing = F.slice(spans, 1, 0)
+
+    def merge(acc, s):
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["label"].alias("label"))
+        return F.when(F.size(acc) == 0, F.array(s)).when(
+            s["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
+
+    ordered = F.reverse(F.aggregate(F.array_sort(spans), nothing, merge))
     return F.aggregate(
         ordered, text,
         lambda acc, s: F.concat(

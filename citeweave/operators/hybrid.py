@@ -17,14 +17,17 @@ def retrieve(
 ) -> DataFrame:
     """Fused context per question: ``(question_id, doc_id, score, rank, out_rank)``.
 
+    Only vectors of the given documents take part, so documents out of scope hold no
+    rank. A question without a vector has its lexical list alone.
     ``n_results`` only sets the fetch size; the result is bounded by ``max_chunks``.
     The distance threshold applies to the dense list alone, and type filters run
     after fusion so that they never change the ranks. Hits known only from the
     lexical list carry no chunk type, hence no type filter applies to them.
     """
     fetch = fusion.fetch_size(n_results, max_chunks, include_figures)
+    own = vectors.join(docs.select(F.col(doc_id).alias(vec_id)).distinct(), vec_id, "left_semi")
     near = dense.nearest(
-        vectors, vec_id, vec, questions, question_id, question_vec, fetch, "l2", max_distance)
+        own, vec_id, vec, questions.filter(F.col(question_vec).isNotNull()), question_id, question_vec, fetch, "l2", max_distance)
     known = docs.select(doc_id, F.col(kind).alias("_kind_in"))
     near = near.withColumnRenamed(vec_id, doc_id) if vec_id != doc_id else near
     lexical = sparse.topk(docs, doc_id, body, questions, question_id, question_body, fetch)

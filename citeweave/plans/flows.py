@@ -56,20 +56,23 @@ def scoped(corpus: Corpus, scope: str) -> DataFrame:
 
 
 def context(corpus: Corpus, questions: DataFrame, scope: str, distance: float, size: int) -> DataFrame:
-    """Fused context rows per question with text and source; unknown sources are left out."""
-    docs = scoped(corpus, scope)
+    """Fused context rows per question with text and source.
+
+    The scope and unknown sources are cut before anything is ranked, so a question
+    gets ``size`` rows whenever the scope has that many.
+    """
+    docs = scoped(corpus, scope).filter(~F.coalesce("source", F.lit("")).isin("", "unknown"))
     hits = hybrid.retrieve(
         docs, "doc_id", "text", "kind", corpus.vectors, "vec_id", "embedding",
         questions, "item_id", "text", "qvec", max_chunks=size, max_distance=distance)
-    known = docs.filter(~F.coalesce("source", F.lit("")).isin("", "unknown"))
-    return durable(hits.join(known.select("doc_id", "text", "source"), "doc_id"))
+    return durable(hits.join(docs.select("doc_id", "text", "source"), "doc_id"))
 
 
-def draft(rows: DataFrame, group: list[str], per_group: int = 8) -> DataFrame:
-    """Leading claims of a group's context, one line each, with the citation key of their paper."""
+def draft(rows: DataFrame, group: list[str]) -> DataFrame:
+    """The claims of a group's context, one line each, with the citation key of their paper."""
     claims = rows.select(*group, "out_rank", "doc_id", "source", F.posexplode(T.claims(T.ascii_fold(F.col("text")))).alias("pos", "claim"))
     order = Window.partitionBy(*group).orderBy("out_rank", "doc_id", "pos")
-    return claims.withColumn("line_no", F.row_number().over(order)).filter(F.col("line_no") <= per_group).withColumn(
+    return claims.withColumn("line_no", F.row_number().over(order)).withColumn(
         "line", F.concat(T.squash(F.col("claim")), F.lit(" @"), F.regexp_replace("source", r"[^\w-]", "")))
 
 
@@ -107,8 +110,9 @@ def write_up(lines: DataFrame, owner: str, secure: bool) -> DataFrame:
     return clean.select(owner, F.col("raw").alias("text"), F.lit(0).alias("n_redactions"))
 
 
-def deep(corpus: Corpus, questions: DataFrame, scope: str = "public") -> Answer:
+def deep(corpus: Corpus, questions: DataFrame, scope: str = "public", provider: str = "local") -> Answer:
     """Retrieve, draft, check; weak drafts are revised once. Scope ``both`` is redacted."""
+    guard(scope, provider)
     rows = context(corpus, questions, scope, DEEP_DISTANCE, DEEP_CHUNKS)
     scored, scores = check(draft(rows, ["item_id"]), rows, "item_id")
     weak = scores.filter(F.col("score") < PASS_SCORE).select("item_id")
@@ -116,8 +120,9 @@ def deep(corpus: Corpus, questions: DataFrame, scope: str = "public") -> Answer:
     return Answer(scored, scores, write_up(final, "item_id", scope == "both"))
 
 
-def survey(corpus: Corpus, questions: DataFrame, theme_vectors: DataFrame, scope: str = "public") -> Answer:
+def survey(corpus: Corpus, questions: DataFrame, theme_vectors: DataFrame, scope: str = "public", provider: str = "local") -> Answer:
     """Retrieve once, assign papers to themes, draft and check per theme."""
+    guard(scope, provider)
     rows = context(corpus, questions, scope, SURVEY_DISTANCE, SURVEY_CHUNKS)
     papers = corpus.vectors.join(rows.select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
     links = themes.assign(papers, "vec_id", "embedding", theme_vectors, "theme", "centroid")
@@ -152,6 +157,6 @@ def from_tables(spark: SparkSession, base: str) -> tuple[Corpus, DataFrame, Data
         F.when(F.col("lang") == "en", "public").otherwise("secure").alias("corpus"))
     vecs = table(spark, base, "embeddings")
     qs = table(spark, base, "benchmark").join(
-        vecs.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("qvec")), "item_id")
+        vecs.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("qvec")), "item_id", "left")
     th = dense.centroids(vecs, "label", "embedding").withColumnRenamed("label", "theme")
     return Corpus(docs, vecs), qs, th

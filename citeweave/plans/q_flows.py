@@ -8,6 +8,22 @@ from citeweave.plans import flows
 from citeweave.plans.registry import query
 
 
+@query("scoped_context", f"""
+WITH scopes AS (SELECT unnest(['public', 'secure', 'both']) AS scope),
+have AS (SELECT scope, count(*) AS n FROM scopes JOIN documents ON scope = 'both' OR (scope = 'public') = (lang = 'en')
+         WHERE coalesce(source, '') NOT IN ('', 'unknown') GROUP BY scope)
+SELECT scope, item_id, least(n, {flows.SURVEY_CHUNKS}) AS n_rows FROM have CROSS JOIN benchmark
+""")
+def scoped_context(spark, base):
+    """Rows of context per scope and question: always as many as asked for, or all there are."""
+    corpus, questions, _ = flows.from_tables(spark, base)
+    parts = [
+        flows.context(corpus, questions, scope, flows.SURVEY_DISTANCE, flows.SURVEY_CHUNKS)
+        .groupBy("item_id").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(scope).alias("scope"), "item_id", "n_rows")
+        for scope in ("public", "secure", "both")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("deep_answers")
 def deep_answers(spark, base):
     corpus, questions, _ = flows.from_tables(spark, base)

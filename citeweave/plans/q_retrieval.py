@@ -27,12 +27,14 @@ lex AS (SELECT item_id, doc_id, score, row_number() OVER
         (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM allsc)
 """
 # Question vectors: the stored vector with the question's id.
-DENSE = """
+DENSE_ALL = """
 dist AS (SELECT b.item_id, e.vec_id, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS dist
          FROM benchmark b JOIN embeddings p ON p.vec_id = b.item_id CROSS JOIN embeddings e),
 den AS (SELECT item_id, vec_id, dist, row_number() OVER
         (PARTITION BY item_id ORDER BY round(dist, 9), vec_id) AS rank FROM dist)
 """
+# Vectors of documents alone, ranked after the rest is left out.
+DENSE = DENSE_ALL.replace("CROSS JOIN embeddings e)", "CROSS JOIN (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) e)")
 RRF = """
 fused0 AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(l * 1000000 + rank) AS seen FROM
    (SELECT item_id, vec_id AS doc_id, rank, 0 AS l FROM den WHERE rank <= {n} {cut}
@@ -56,9 +58,20 @@ def _docs(spark, base):
 
 
 def _questions(spark, base):
-    """Questions with the stored vector of the same id."""
+    """All questions, with the stored vector of the same id where there is one."""
     vec = table(spark, base, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("qvec"))
-    return table(spark, base, "benchmark").join(vec, "item_id")
+    return table(spark, base, "benchmark").join(vec, "item_id", "left")
+
+
+def _asked(spark, base):
+    """Questions that have a vector."""
+    return _questions(spark, base).filter("qvec is not null")
+
+
+def _vectors(spark, base):
+    """Vectors of documents."""
+    return table(spark, base, "embeddings").join(
+        table(spark, base, "documents").select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM lex WHERE rank <= 20")
@@ -68,28 +81,32 @@ def bm25_topk(spark, base):
 
 
 @query("bm25_terms", f"""
-WITH {BM25.split('q AS')[0].rstrip().rstrip(',')}, d AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
-SELECT term, df, round(idf, 6) AS idf FROM d JOIN idf USING (term) WHERE df >= 5
+WITH toks AS MATERIALIZED (SELECT doc_id, unnest({A.words('text')}) AS term FROM documents),
+tot AS (SELECT count(*) AS n FROM documents),
+raw AS MATERIALIZED (SELECT term, count(DISTINCT doc_id) AS df FROM toks GROUP BY term),
+wt AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM raw, tot),
+fl AS MATERIALIZED (SELECT 0.25 * avg(idf) AS floor FROM wt)
+SELECT term, df, round(CASE WHEN idf < 0 THEN floor ELSE idf END, 6) AS idf FROM wt, fl
 """)
 def bm25_terms(spark, base):
     terms, corpus = sparse.corpus_stats(_docs(spark, base), "doc_id", "text")
-    return terms.filter("df >= 5").select("term", "df", F.round(corpus.idf(F.col("df")), 6).alias("idf"))
+    return terms.select("term", "df", F.round(corpus.idf(F.col("df")), 6).alias("idf"))
 
 
-@query("dense_topk", f"WITH {DENSE} SELECT item_id, vec_id, round(dist, 6) AS dist, rank FROM den WHERE rank <= 10")
+@query("dense_topk", f"WITH {DENSE_ALL} SELECT item_id, vec_id, round(dist, 6) AS dist, rank FROM den WHERE rank <= 10")
 def dense_topk(spark, base):
     near = dense.nearest(
-        table(spark, base, "embeddings"), "vec_id", "embedding", _questions(spark, base), "item_id", "qvec", 10)
+        table(spark, base, "embeddings"), "vec_id", "embedding", _asked(spark, base), "item_id", "qvec", 10)
     return near.select("item_id", "vec_id", F.round("value", 6).alias("dist"), F.col("rank").cast("long"))
 
 
 @query("rrf_fusion", f"""
 WITH {BM25}, {DENSE}, {RRF.format(n=50, cut='')}
-SELECT item_id, doc_id, round(score, 6) AS score, rank FROM fused WHERE item_id IN (SELECT vec_id FROM embeddings)
+SELECT item_id, doc_id, round(score, 6) AS score, rank FROM fused
 """)
 def rrf_fusion(spark, base):
     qs = _questions(spark, base)
-    near = dense.nearest(table(spark, base, "embeddings"), "vec_id", "embedding", qs, "item_id", "qvec", 50)
+    near = dense.nearest(_vectors(spark, base), "vec_id", "embedding", _asked(spark, base), "item_id", "qvec", 50)
     lex = sparse.topk(_docs(spark, base), "doc_id", "text", qs, "item_id", "text", 50)
     fused = fusion.reciprocal_rank(
         [near.withColumnRenamed("vec_id", "doc_id"), lex], "item_id", "doc_id")
@@ -102,7 +119,7 @@ def _shaped(figures: bool) -> str:
     typed = f"""
 typed AS (SELECT f.item_id, f.doc_id, f.score, f.rank, CASE WHEN n.vec_id IS NULL THEN '' ELSE {KIND} END AS kind
   FROM fused f JOIN documents USING (doc_id) LEFT JOIN (SELECT * FROM den WHERE rank <= {fetch} AND dist <= 1.3) n
-  ON n.item_id = f.item_id AND n.vec_id = f.doc_id WHERE f.rank <= {cap} AND f.item_id IN (SELECT vec_id FROM embeddings))
+  ON n.item_id = f.item_id AND n.vec_id = f.doc_id WHERE f.rank <= {cap})
 """
     head = f"WITH {BM25}, {DENSE}, {RRF.format(n=fetch, cut='AND dist <= 1.3')}, {typed}"
     if not figures:

@@ -44,6 +44,19 @@ def site_pattern_scrub(spark, base):
     return out.select("doc_id", "clean", F.col("n").cast("long").alias("n_redactions"))
 
 
+# Lines of a pattern file: a comment, a blank line, and patterns without and with digits.
+CUSTOM_LINES = ["# names that stay inside", "", "  ", r"\bLicensed\b", r"\bpassword=\S+", r"[Rr]eleased under", r"\bversion \d\b"]
+CUSTOM = R.BOUNDARY + R.custom_rules(CUSTOM_LINES)
+
+
+@query("custom_pattern_scrub", f"""
+WITH {_chain(CUSTOM)} SELECT doc_id, t AS clean, CAST(n AS BIGINT) AS n_redactions FROM r{len(CUSTOM)}
+""")
+def custom_pattern_scrub(spark, base):
+    out = R.redact(_folded(spark, base), "t", CUSTOM, "clean", "n")
+    return out.select("doc_id", "clean", F.col("n").cast("long").alias("n_redactions"))
+
+
 def _per_rule_sql() -> str:
     parts = []
     for i, r in enumerate(R.BOUNDARY):
