@@ -60,6 +60,8 @@ def warnings(ledger: DataFrame, keys: list[str], min_citations: int = 1) -> Data
     return few.select(*cols).unionByName(bad.select(*cols)).unionByName(dup.select(*cols))
 
 
-def unseen(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Candidates whose claim id the ledger does not hold yet, first occurrence only."""
-    return candidates.join(ledger.select("claim_id"), "claim_id", "left_anti")
+def unseen(candidates: DataFrame, ledger: DataFrame, order: list[str]) -> DataFrame:
+    """Candidates whose claim id the ledger does not hold yet, the first occurrence of each by ``order``."""
+    rest = [c for c in candidates.columns if c != "claim_id"]
+    first = candidates.groupBy("claim_id").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_c")).select("claim_id", "_c.*")
+    return first.join(ledger.select("claim_id").distinct(), "claim_id", "left_anti").select(candidates.columns)

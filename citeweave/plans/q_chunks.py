@@ -48,7 +48,7 @@ g AS (SELECT doc_id,
   list_filter(t, lambda p: length(p) >= 30 AND NOT regexp_matches(p,
    '^HHS Public Access|^Author manuscript|^available in PMC|^Published in final edited form|^Contents lists available at|^Acta Biomater\\.|^NIH Public Access|^\\d+\\.\\s+Introduction$|^journal homepage|^www\\.')) AS good,
   list_filter(t, lambda p: length(p) > 10) AS spare FROM l)
-SELECT doc_id, substr(coalesce(good[1], spare[1], ''), 1, 200) AS title FROM g
+SELECT doc_id, coalesce(good[1], spare[1], '') AS title FROM g
 """.replace("\\\\", "\\"))
 def paper_titles(spark, base):
     docs = table(spark, base, "documents", spread="doc_id")
@@ -56,9 +56,9 @@ def paper_titles(spark, base):
 
 
 @query("content_hash_dups", f"""
-WITH h AS (SELECT doc_id, substr(sha256(substr(array_to_string(
+WITH h AS (SELECT doc_id, substr(sha256(array_to_string(
     list_transform(list_filter({LINES}, lambda p: NOT regexp_matches(p, {REF})), lambda p: {A.fold('p')}),
-    chr(10)), 1, 8000)), 1, 16) AS content_hash FROM documents),
+    chr(10))), 1, 16) AS content_hash FROM documents),
 f AS (SELECT content_hash, min(doc_id) AS kept, count(*) AS copies FROM h GROUP BY 1)
 SELECT h.doc_id, h.content_hash, f.kept AS first_doc, f.copies FROM h JOIN f USING (content_hash)
 WHERE h.doc_id > f.kept
@@ -85,9 +85,7 @@ k AS (SELECT doc_id, len(s) AS n, pos AS i, term FROM
         (SELECT doc_id, s, i AS pos, s[i + 1] AS item FROM
           (SELECT doc_id, s, unnest(range(len(s))) AS i FROM s WHERE len(s) > 2)))),
 tok AS (SELECT doc_id, n, i, term, count(*) AS tf FROM k GROUP BY ALL),
-v AS (SELECT doc_id, term, df FROM (SELECT doc_id, term, count(*) AS df,
-        row_number() OVER (PARTITION BY doc_id ORDER BY sum(tf) DESC, term) AS r
-        FROM tok GROUP BY doc_id, term) WHERE r <= 100),
+v AS (SELECT doc_id, term, count(*) AS df FROM tok GROUP BY doc_id, term),
 w AS (SELECT doc_id, i, sum(x) / sqrt(sum(x * x)) AS score FROM
       (SELECT doc_id, i, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tok JOIN v USING (doc_id, term)) GROUP BY 1, 2),
 p AS (SELECT doc_id, list(i ORDER BY i) AS pick FROM (SELECT *, row_number() OVER

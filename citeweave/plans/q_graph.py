@@ -170,9 +170,11 @@ def kg_related(spark, base):
 
 
 @query("kg_subgraph", f"""
-WITH {INC}, {SEEDS_SQL},
-k AS (SELECT node FROM s UNION SELECT dst FROM dir WHERE src IN (SELECT node FROM s))
-SELECT u, v FROM und WHERE u IN (SELECT node FROM k) AND v IN (SELECT node FROM k)
+WITH inc AS MATERIALIZED (SELECT DISTINCT l_orderkey AS chunk, l_partkey AS node FROM lineitem), {SEEDS_SQL},
+near AS MATERIALIZED (SELECT DISTINCT chunk FROM inc JOIN s USING (node)),
+k AS MATERIALIZED (SELECT node FROM s UNION SELECT node FROM inc JOIN near USING (chunk)),
+kin AS MATERIALIZED (SELECT chunk, node FROM inc JOIN k USING (node))
+SELECT DISTINCT a.node AS u, b.node AS v FROM kin a JOIN kin b ON a.chunk = b.chunk AND a.node < b.node
 """)
 def kg_subgraph(spark, base):
     """Edges induced by the seeds and their direct neighbours."""

@@ -266,11 +266,11 @@ def figure_stats(spark, base):
         F.min("relevance").alias("lowest"), F.round(F.avg("relevance"), 4).alias("mean"), F.max("relevance").alias("highest"))
 
 
-TITLE = "substr(string_split(text, chr(10))[1], 1, 120)"
+TITLE = "string_split(text, chr(10))[1]"
 
 
 def _title():
-    return F.substring(F.element_at(F.split("text", "\n"), 1), 1, 120)
+    return F.substring_index("text", "\n", 1)
 
 
 @query("title_jaccard_match", f"""

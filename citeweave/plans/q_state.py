@@ -177,11 +177,19 @@ def cycle_summary(spark, base):
         F.count_if(kind == "error").alias("failures"), F.round(F.sum("value"), 4).alias("cost"))
 
 
-@query("provider_dedup")
+@query("provider_dedup", """
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, source,
+  substr(sha256(lower(text)), 1, 16) AS doi, lower(string_split(text, chr(10))[1]) AS title FROM documents),
+s AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS dois, []::VARCHAR[] AS titles, false AS kept
+  UNION ALL SELECT d.i,
+    CASE WHEN list_contains(dois, d.doi) OR list_contains(titles, d.title) THEN dois ELSE list_append(dois, d.doi) END,
+    CASE WHEN list_contains(dois, d.doi) OR list_contains(titles, d.title) OR d.title = '' THEN titles ELSE list_append(titles, d.title) END,
+    NOT (list_contains(dois, d.doi) OR list_contains(titles, d.title)) FROM s JOIN d ON d.i = s.i + 1)
+SELECT doc_id, source, title FROM s JOIN d USING (i) WHERE kept
+""")
 def provider_dedup(spark, base):
-    """Documents as a merged provider feed: drop on a seen opening or a seen title."""
+    """Documents as a merged provider feed: drop on a seen text or a seen title."""
     docs = table(spark, base, "documents", spread="doc_id").select(
-        "doc_id", "source",
-        T.short_digest(F.lower(F.substring("text", -60, 60))).alias("doi"),
-        F.substring(F.lower(F.substring_index("text", "\n", 1)), 1, 80).alias("title"))
+        "doc_id", "source", T.short_digest(F.lower("text")).alias("doi"),
+        F.lower(F.substring_index("text", "\n", 1)).alias("title"))
     return keyed.first_seen_by_either(docs, "doc_id", "doi", "title").select("doc_id", "source", "title")

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """Import every query module and return both dictionaries."""
     from citeweave.plans import (  # noqa: F401
-        q_anchoring, q_chunks, q_claims, q_entities, q_flows, q_graph, q_metrics, q_retrieval,
+        q_anchoring, q_chunks, q_claims, q_entities, q_flows, q_graph, q_json, q_metrics, q_retrieval,
         q_security, q_state, q_vectors,
     )
     return dict(_QUERIES), dict(_SQL)

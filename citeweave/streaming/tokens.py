@@ -23,17 +23,27 @@ def looping(tail: str) -> bool:
     return len(tail) >= 400 and len(tail) / max(len(zlib.compress(tail.encode())), 1) >= TAIL_RATIO
 
 
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState, quiet_ms: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:  # the output has ended; its verdict was given with its last token
+        state.remove()
+        return
     tail, seen, bad = state.get if state.exists else ("", 0, False)
     for pdf in batches:
-        for token in pdf.sort_values("seq")["token"]:
-            tail, seen = (tail + token)[-TAIL:], seen + len(token)
-        bad = bad or looping(tail)
+        new = "".join(pdf.sort_values("seq")["token"])
+        tail, seen = (tail + new)[-max(TAIL, len(new)):], seen + len(new)
+        # Every stretch of a long batch is looked at, not only its end.
+        bad = bad or any(looping(tail[max(0, end - TAIL):end]) for end in range(len(tail), 0, -(TAIL // 2)))
+        tail = tail[-TAIL:]
     state.update((tail, seen, bad))
+    state.setTimeoutDuration(quiet_ms)
     yield pd.DataFrame([(key[0], seen, bad)], columns=["stream_id", "seen", "degraded"])
 
 
-def monitor(tokens: DataFrame) -> DataFrame:
-    """``(stream_id, seq, token)`` stream to the current verdict per output; state is a bounded tail."""
+def monitor(tokens: DataFrame, quiet_ms: int = 600_000) -> DataFrame:
+    """``(stream_id, seq, token)`` stream to the current verdict per output.
+
+    State is a bounded tail per output, removed when the output has been quiet for ``quiet_ms``.
+    """
     return tokens.groupBy("stream_id").applyInPandasWithState(
-        _advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+        lambda key, batches, state: _advance(key, batches, state, quiet_ms), OUT, STATE, "update",
+        GroupStateTimeout.ProcessingTimeTimeout)
