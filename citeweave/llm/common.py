@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,13 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def folded_words(text: str) -> list[bytes]:
     """Words between white space, with A-Z lower-cased and all else as it is.
 
@@ -87,14 +95,18 @@ def id_filter(values: DataFrame, column: str) -> np.ndarray:
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas())
     table = np.zeros(FILTER_BITS >> 6, dtype=np.int64)
     table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+    return table.view(np.uint8)
 
 
 def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """For each 64-bit hash whether the filter may hold it."""
     h = hashes.view(np.uint64)
     size = np.uint64(FILTER_BITS - 1)
-    return bits[(h & size).astype(np.int64)] & bits[((h >> np.uint64(32)) & size).astype(np.int64)]
+
+    def marked(at: np.ndarray) -> np.ndarray:
+        return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+
+    return (marked(h & size) & marked((h >> np.uint64(32)) & size)).astype(bool)
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeweave.llm.common import components, folded_words, id_filter, may_hold, mix64, odd_numbers, texts
+from citeweave.llm.common import components, folded_words, id_filter, may_hold, mix64, odd_numbers, slices, texts
 from citeweave.session import durable
 
 #: Trees, entries that neighbours share at least, entries of a tree's order. Crowded
@@ -101,7 +101,7 @@ def label_bytes(rows: np.ndarray) -> list[bytes]:
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """``id, n_shingles, set_key, sig``: a 128-bit key of the set and its signature; null for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, keys, sigs = [], [], []
             for t in texts(batch):
                 got = shingles(t, width)
@@ -125,7 +125,7 @@ def in_trees(heads: DataFrame) -> DataFrame:
     region is held as a whole.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = pa.array(np.repeat(np.arange(batch.num_rows), TREES))
             made = [x for sig in batch.column("sig").to_pylist() for x in label_bytes(np.frombuffer(sig, dtype=np.uint16)[ORDERS])]
             trees = pa.array(np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows))
@@ -224,7 +224,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select(F.xxhash64("id").alias("h")), "h"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hit = may_hold(bits.value, batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64))
             batch = batch.filter(pa.array(hit))
             if batch.num_rows:
@@ -243,7 +243,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .join(sets.withColumnsRenamed({"id": "b", "packed": "pb"}), "b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for x, y in zip(batch.column("pa"), batch.column("pb"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))

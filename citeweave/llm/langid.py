@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeweave.llm.common import out_schema, record, texts, worker_state
+from citeweave.llm.common import out_schema, record, slices, texts, worker_state
 
 #: n-gram lengths in characters, and hash buckets.
 ORDERS = (1, 2, 3, 4)
@@ -104,7 +104,7 @@ def train(
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for name, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 own = counts.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))
                 for got in pieces(letters_of(t)):
@@ -177,7 +177,7 @@ def identify(
     passed = ["doc_id", *(keep or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pred, post = score(texts(batch), *shared.value)
             yield record(batch, passed, lang_pred=pa.array(pred, pa.string()), score=post)
 
@@ -194,7 +194,7 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least:
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pred, post = score(texts(batch), *shared.value)
             good = np.asarray([p != UNKNOWN for p in pred], dtype=bool) & (post >= least)
             yield batch.filter(pa.array(good)).select(columns)

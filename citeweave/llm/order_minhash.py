@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeweave.llm.common import mix64, odd_numbers
+from citeweave.llm.common import mix64, odd_numbers, slices
 
 #: Code points in a k-mer, entries of a fingerprint, k-mers hashed at once.
 K = 8
@@ -117,7 +117,7 @@ def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             packed = pa.array([squeeze((t or "").encode("utf-8")) for t in batch.column("text").to_pylist()], pa.binary())
             at = np.searchsorted(ends, ids)  # the run's greatest id is ends[at]
@@ -161,7 +161,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         unpack = zstandard.ZstdDecompressor().decompress
         last = None  # id, text, signature of the row whose successor comes next
         closed = None  # the run whose guest has come
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             columns = [batch.column(c).to_pylist() for c in ("block", "guest", "doc_id", "packed")]
             for block, guest, own, packed in zip(*columns, strict=True):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeweave.llm.common import id_filter, may_hold, mix64, texts
+from citeweave.llm.common import id_filter, may_hold, mix64, slices, texts
 from citeweave.session import durable
 
 #: Masks: positions that a seed looks at, among ``SPAN`` tokens. Wherever two of ten
@@ -73,7 +73,7 @@ def runs(words: np.ndarray, length: int) -> np.ndarray:
 def item_table(items: DataFrame) -> DataFrame:
     """``item, packed`` : the least id of each distinct token sequence with its token hashes; too short ones drop out."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [word_hashes(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("item"), pa.array([w.tobytes() if len(w) >= SHORTEST else None for w in made], pa.binary())],
@@ -88,7 +88,7 @@ def item_table(items: DataFrame) -> DataFrame:
 def item_seeds(table: DataFrame) -> DataFrame:
     """``seed, item, at``: hashes of an item's seeds and where they begin in it."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for item, packed in zip(batch.column("item"), batch.column("packed").to_pylist(), strict=True):
                 words = np.frombuffer(packed, dtype=np.uint64)
                 made = seeds(words) if len(words) >= SPAN else runs(words, len(words))[None, :]
@@ -107,7 +107,7 @@ def doc_hits(docs: DataFrame, table: DataFrame, marks: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, lengths = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             at, packed, hits = [], [], []
             for i, t in enumerate(texts(batch)):
                 words = word_hashes(t)
@@ -173,7 +173,7 @@ def overlaps(docs: DataFrame, items: DataFrame, salts: int = 16) -> DataFrame:
         .join(hits.select("row", F.col("packed").alias("mine")), "row"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             agree, length = [], []
             for mine, theirs, diagonal in zip(
                     batch.column("mine"), batch.column("theirs"), batch.column("diagonal").to_pylist(), strict=True):

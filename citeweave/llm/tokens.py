@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeweave.llm.common import out_schema, record, texts, worker_state
+from citeweave.llm.common import out_schema, record, slices, texts, worker_state
 
 #: A pre-token: its leading blanks and what follows up to the next blank.
 _UNIT = re.compile(" +[^ ]*")
@@ -97,7 +97,7 @@ def frequent_pretokens(docs: DataFrame, text: str, sample_docs: int, per_task: i
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for t in texts(batch):
                 counts.update(u for u in pretokens(t) if len(u) <= 32)
         best = [(u, c) for u, c in counts.most_common(per_task) if c > 1]
@@ -134,7 +134,7 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = None
-        for batch in batches:
+        for batch in slices(batches):
             lengths = lengths or Lengths(*shared.value, cache, longest)
             got = texts(batch)
             yield record(
