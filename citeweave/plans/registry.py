@@ -24,10 +24,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is already registered."""
+    return _SQL[name]
+
+
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """Import every query module and return both dictionaries."""
     from citeweave.plans import (  # noqa: F401
-        q_anchoring, q_chunks, q_claims, q_entities, q_flows, q_graph, q_json, q_metrics, q_retrieval,
+        q_anchoring, q_chunks, q_claims, q_entities, q_flows, q_graph, q_json, q_metrics, q_render, q_retrieval, q_scorecard,
         q_security, q_state, q_vectors,
     )
     return dict(_QUERIES), dict(_SQL)
