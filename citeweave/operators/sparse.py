@@ -70,14 +70,14 @@ def postings(docs: DataFrame, doc_id: str, body: str, vocab: DataFrame) -> DataF
     )
 
 
-def _weight(avg_len: float) -> Column:
+def weight(avg_len: float) -> Column:
     tf, length = F.col("tf"), F.col("len")
     return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(avg_len)))
 
 
 def topk(
     docs: DataFrame, doc_id: str, body: str,
-    queries: DataFrame, query_id: str, query_body: str, k: int, pad: bool = True,
+    queries: DataFrame, query_id: str, query_body: str, k: int, fill: bool = True,
 ) -> DataFrame:
     """Best ``k`` documents per query by BM25: ``(query_id, doc_id, score, rank)``.
 
@@ -93,10 +93,10 @@ def topk(
     # The queries' part of the index, read by all passes below.
     weighted = durable(
         postings(docs, doc_id, body, vocab.select("term")).join(vocab, "term")
-        .select(doc_id, "term", _weight(corpus.avg_len).alias("w"))
+        .select(doc_id, "term", weight(corpus.avg_len).alias("w"))
     )
     best = pruned_topk(qt.select(query_id, "term", F.col("qtf").alias("qw"), "df"), weighted, query_id, doc_id, k)
-    return _pad(durable(best), docs, doc_id, queries, query_id, k) if pad else best
+    return pad(durable(best), docs, doc_id, queries, query_id, k) if fill else best
 
 
 def pruned_topk(qt: DataFrame, weighted: DataFrame, query_id: str, doc_id: str, k: int) -> DataFrame:
@@ -169,7 +169,7 @@ def pruned_topk(qt: DataFrame, weighted: DataFrame, query_id: str, doc_id: str,
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _pad(best: DataFrame, docs: DataFrame, doc_id: str, queries: DataFrame, query_id: str, k: int) -> DataFrame:
+def pad(best: DataFrame, docs: DataFrame, doc_id: str, queries: DataFrame, query_id: str, k: int) -> DataFrame:
     """Fill lists shorter than ``k`` with zero-score documents in corpus order."""
     have = best.groupBy(query_id).agg(F.count(F.lit(1)).alias("have"))
     short = (

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from citeweave.operators import dense, fusion, hybrid, sparse
+from citeweave.operators.lexical_index import LexicalIndex
 from citeweave.plans import ansi as A
 from citeweave.plans.registry import query
+from citeweave.session import shared_dir
 from citeweave.sources.tables import table
 
 # BM25 over all documents and all questions, zero-score padding included.
@@ -80,6 +84,17 @@ def bm25_topk(spark, base):
     return best.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
+@query("bm25_stored_index", f"WITH {BM25} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM lex WHERE rank <= 20")
+def bm25_stored_index(spark, base):
+    """The same search on a stored index that was built from one half of the corpus and extended by the other."""
+    docs = _docs(spark, base)
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    half = F.col("doc_id") % 2 == 0
+    index = LexicalIndex(spark, path).append(docs.filter(half), "doc_id", "text").append(docs.filter(~half), "doc_id", "text")
+    best = index.topk(table(spark, base, "benchmark"), "item_id", "text", 20)
+    return best.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
 @query("bm25_terms", f"""
 WITH toks AS MATERIALIZED (SELECT doc_id, unnest({A.words('text')}) AS term FROM documents),
 tot AS (SELECT count(*) AS n FROM documents),
