@@ -69,3 +69,33 @@ def test_redaction(spark):
     spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("name").alias("label")),
                     F.struct(F.lit(8).alias("start"), F.lit(11).alias("end"), F.lit("loc").alias("label")))
     assert one(spark, redact.mask_spans(F.col("t"), spans), t="Bob saw Ulm.") == "[REDACTED-NAME] saw [REDACTED-LOC]."
+
+
+def test_overlapping_spans_are_one(spark):
+    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(c).alias("label")) for a, b, c in (
+        (4, 9, "loc"), (0, 5, "name"), (12, 14, "id"))])
+    assert one(spark, redact.mask_spans(F.col("t"), spans), t="abcdefghijklmnop") == "[REDACTED-NAME]jkl[REDACTED-ID]op"
+
+
+def test_custom_rules_need_no_digit(spark):
+    rules = redact.custom_rules(["# comment", "", "  ", "Acme Biologics", r"lot \d+"])
+    df = spark.createDataFrame([("contact Acme Biologics now",), ("lot 7 of Acme Biologics",), ("nothing",)], "t string")
+    got = [tuple(r) for r in redact.redact(df, "t", rules, "clean", "n").select("clean", "n").collect()]
+    assert got == [("contact [REDACTED] now", 1), ("[REDACTED] of [REDACTED]", 2), ("nothing", 0)]
+
+
+def test_json_object(spark):
+    cases = {
+        '{"a": 1}': '{"a": 1}', 'x ```json\n{"a": 2}\n``` y': '{"a": 2}', 'the answer {"a": {"b": 3}} ends': '{"a": {"b": 3}}',
+        '<think>{"no": 1}</think>{"a": 4}': '{"a": 4}', '{"a": ': None, "[1, 2]": None, "none } at { all": None, "": None,
+    }
+    for answer, want in cases.items():
+        assert one(spark, T.json_object(F.col("t")), t=answer) == want
+
+
+def test_node_labels(spark):
+    from citeweave.functions import render
+
+    cases = {"a.pdf::Gene:Interleukin": "Interleukin", "Gene:IL6": "Gene:IL6", "plain": "plain", "a::b": "b", "Type: Long name": "Long name"}
+    for node, want in cases.items():
+        assert one(spark, render.node_label(F.col("t")), t=node) == want
