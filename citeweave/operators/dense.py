@@ -112,6 +112,22 @@ def within(
     return _score(items, item_id, vec, probes, probe_id, probe_vec, "cosine", keep)
 
 
+def routed(
+    items: DataFrame, item_id: str, vec: str, probes: DataFrame, probe_id: str, probe_vec: str,
+    min_cosine: float, weak: float,
+) -> DataFrame:
+    """Pairs with cosine of at least ``min_cosine``, each item's best, and all pairs of items whose best is below ``weak``.
+
+    With probes in several slices an item may bring more than its share; its best over
+    all of them tells what to keep.
+    """
+    def keep(val: np.ndarray):
+        top = val.max(axis=1, keepdims=True)
+        return np.nonzero((val >= min_cosine) | (val == top) | (top < weak))
+
+    return _score(items, item_id, vec, probes, probe_id, probe_vec, "cosine", keep)
+
+
 def centroids(items: DataFrame, group: str, vec: str) -> DataFrame:
     """Mean vector per group by partial aggregates on (group, dimension)."""
     dims = (

@@ -9,8 +9,6 @@ from citeweave.operators import dense
 
 THEME_MIN = 0.35
 ROUTE_MIN, ROUTE_WEAK = 0.35, 0.2
-PAPER_MIN = 0.6
-PAPER_WIDTH = 768
 
 
 def assign(papers: DataFrame, paper: str, vec: str, themes: DataFrame, theme: str, theme_vec: str,
@@ -30,7 +28,7 @@ def route(queries: DataFrame, query_id: str, vec: str, communities: DataFrame, c
 
     A query whose best score is weak is flagged for the model-based fallback.
     """
-    pairs = dense.within(queries, query_id, vec, communities, cid, cvec, -2.0)
+    pairs = dense.routed(queries, query_id, vec, communities, cid, cvec, minimum, ROUTE_WEAK)
     best = pairs.groupBy(query_id).agg(F.max("value").alias("top"))
     flagged = pairs.join(best, query_id).withColumn(
         "method", F.when(F.col("top") < ROUTE_WEAK, "fallback").otherwise("embedding"))

@@ -22,7 +22,7 @@ DEEP_DISTANCE, SURVEY_DISTANCE = 1.0, 1.5
 DEEP_CHUNKS, SURVEY_CHUNKS = 20, 50
 KEEP_DRAFT, PASS_SCORE = 0.50, 0.85
 NO_CRITIQUE = "NO_CRITIQUE: All claims are evidence-grounded."
-SECTIONS = ["Introduction", "Methods", "Results", "Discussion"]
+SECTIONS = ["Introduction", "Methods", "Results", "Discussion"]  # in the order in which they are written
 
 
 @dataclass
@@ -134,12 +134,22 @@ def survey(corpus: Corpus, questions: DataFrame, theme_vectors: DataFrame, scope
     return Answer(scored, scores, write_up(final, "theme", scope == "both"))
 
 
-def sectioned(corpus: Corpus, questions: DataFrame, section: str = "section", scope: str = "public") -> tuple[Answer, DataFrame]:
+def section_order(section: str):
+    """Place of a section in the document; others follow in order of their name."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, SECTIONS)), F.col(section)).cast("int"), F.lit(0))
+
+
+def sectioned(
+    corpus: Corpus, questions: DataFrame, section: str = "section", scope: str = "public", provider: str = "local",
+) -> tuple[Answer, DataFrame]:
     """One draft per section; claims already made by an earlier section are dropped. Adds ledger warnings."""
+    guard(scope, provider)
     rows = context(corpus, questions, scope, SURVEY_DISTANCE, DEEP_CHUNKS).join(questions.select("item_id", section), "item_id")
     lines = draft(rows, [section, "item_id"]).withColumn("claim_id", T.claim_id(F.col("claim")))
-    first = lines.groupBy("claim_id").agg(F.min(F.struct("item_id", "line_no")).alias("f"))
-    kept = lines.join(first, "claim_id").filter(F.struct("item_id", "line_no") == F.col("f"))
+    place = section_order(section)
+    lines = lines.withColumn("place", F.struct(F.when(place == 0, len(SECTIONS) + 1).otherwise(place).alias("nth"), section, "item_id", "line_no"))
+    first = lines.groupBy("claim_id").agg(F.min("place").alias("f"))
+    kept = lines.join(first, "claim_id").filter(F.col("place") == F.col("f")).drop("place", "f")
     scored, scores = check(kept, rows, "item_id")
     book = kept.join(scored.select("item_id", "line_no", "similarity"), ["item_id", "line_no"]).select(
         "item_id", F.col("line_no").alias("pos"), F.col(section).alias("section"), "claim_id",

@@ -39,3 +39,15 @@ def survey_themes(spark, base):
     out = flows.survey(corpus, questions, themes, "both")
     return out.scores.join(out.text, "theme", "left").select(
         "theme", "n_claims", "n_grounded", F.round("score", 6).alias("score"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("sectioned_answers")
+def sectioned_answers(spark, base):
+    """Scores and ledger warnings of a sectioned draft: one section for each question."""
+    corpus, questions, _ = flows.from_tables(spark, base)
+    names = F.array(*map(F.lit, flows.SECTIONS))
+    asked = questions.withColumn("section", F.element_at(names, (F.pmod("item_id", F.lit(len(flows.SECTIONS))) + 1).cast("int")))
+    out, warnings = flows.sectioned(corpus, asked, "section", "public")
+    counts = warnings.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_warnings"))
+    return out.scores.join(asked.select("item_id", "section"), "item_id").join(counts, "item_id", "left").select(
+        "section", "item_id", "n_claims", "n_grounded", F.round("score", 6).alias("score"), F.coalesce("n_warnings", F.lit(0)).alias("n_warnings"))

@@ -4,7 +4,7 @@ from citeweave.plans.registry import load
 from tests.compare import canonical, connect
 
 BASE = "/root/testdata/sf0.001"
-SLOW = {"kg_communities", "kg_label_propagation", "deep_answers", "survey_themes"}
+SLOW = {"kg_communities", "kg_label_propagation", "deep_answers", "survey_themes", "sectioned_answers"}
 QUERIES, SQL = load()
 
 
