@@ -11,6 +11,8 @@ from citeweave.plans.registry import query
 from citeweave.sources.tables import table
 
 LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda p: {A.strip('p')}), lambda p: p <> '')"
+# Chunks whose summaries make up a paper's.
+PAPER_CHUNKS = 10
 REF = r"'^\s*(-\s*)?\[\d+\]'"
 
 
@@ -76,8 +78,9 @@ def content_hash_dups(spark, base):
     )
 
 
-@query("extractive_summary", f"""
-WITH b AS (SELECT doc_id, {A.fold('text')} AS t FROM documents),
+def _summaries(src: str) -> str:
+    """CTEs that end in ``summed(doc_id, summary)`` for the texts of a table."""
+    return f"""b AS (SELECT doc_id, {A.fold('text')} AS t FROM {src}),
 s AS (SELECT doc_id, t, CASE WHEN length(t) >= 100 THEN
         list_filter({A.sentences('t')}, lambda x: length(x) > 20) END AS s FROM b),
 k AS (SELECT doc_id, len(s) AS n, pos AS i, term FROM
@@ -89,17 +92,40 @@ v AS (SELECT doc_id, term, count(*) AS df FROM tok GROUP BY doc_id, term),
 w AS (SELECT doc_id, i, sum(x) / sqrt(sum(x * x)) AS score FROM
       (SELECT doc_id, i, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tok JOIN v USING (doc_id, term)) GROUP BY 1, 2),
 p AS (SELECT doc_id, list(i ORDER BY i) AS pick FROM (SELECT *, row_number() OVER
-      (PARTITION BY doc_id ORDER BY round(score, 9) DESC, i) AS r FROM w) WHERE r <= 2 GROUP BY 1)
-SELECT doc_id, CASE WHEN s IS NULL THEN t WHEN len(s) = 0 THEN substr(t, 1, 200)
+      (PARTITION BY doc_id ORDER BY round(score, 9) DESC, i) AS r FROM w) WHERE r <= 2 GROUP BY 1),
+summed AS (SELECT doc_id, CASE WHEN s IS NULL THEN t WHEN len(s) = 0 THEN substr(t, 1, 200)
   WHEN len(s) <= 2 THEN array_to_string(s, ' ')
   WHEN pick IS NULL THEN array_to_string(s[1:2], ' ')
   ELSE array_to_string(list_transform(pick, lambda j: s[j + 1]), ' ') END AS summary
-FROM s LEFT JOIN p USING (doc_id)
-""")
+FROM s LEFT JOIN p USING (doc_id))
+"""
+
+
+@query("extractive_summary", f"WITH {_summaries('documents')} SELECT doc_id, summary FROM summed")
 def extractive_summary(spark, base):
     return chunks.summarise(table(spark, base, "documents"), "doc_id", "text")
 
 
+@query("paper_summaries", f"""
+WITH paras AS (SELECT doc_id || ':' || pos AS doc_id, {A.fold('item')} AS text
+  FROM {A.exploded('documents', 'doc_id', LINES)} WHERE NOT regexp_matches(item, {REF})),
+{_summaries('paras')},
+said AS (SELECT string_split(doc_id, ':')[1]::BIGINT AS doc_id, string_split(doc_id, ':')[2]::BIGINT AS pos, summary FROM summed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM said WHERE summary <> '')
+SELECT doc_id, string_agg(summary, ' ' ORDER BY pos) AS summary FROM ranked WHERE nth <= {PAPER_CHUNKS} GROUP BY doc_id
+""")
+def paper_summaries(spark, base):
+    """A paper's summary: the summaries of its first ten chunks that have one."""
+    docs = table(spark, base, "documents", spread="doc_id")
+    parts = chunks.paragraphs(docs, "doc_id", "text", []).filter("chunk_type <> 'reference'")
+    parts = parts.withColumn("key", F.concat_ws(":", "doc_id", "chunk_index"))
+    said = chunks.summarise(parts, "key", "text").filter("summary <> ''")
+    at = F.split("key", ":")
+    rows = said.select(at[0].cast("long").alias("doc_id"), at[1].cast("int").alias("pos"), "summary")
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(
+        F.slice(F.array_sort(F.collect_list(F.struct("pos", "summary"))), 1, PAPER_CHUNKS), lambda x: x["summary"]), " ").alias("summary"))
+
+
 @query("systematic_sample", """
 WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
                   count(*) OVER (PARTITION BY source) AS n FROM documents)
