@@ -109,9 +109,12 @@ def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (marked(h & size) & marked((h >> np.uint64(32)) & size)).astype(bool)
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+def _settled(links: DataFrame) -> bool:
+    """Whether the links (u to v) are stars: every u has one v, and no v is a u."""
+    ends = links.select("u", F.lit(1).alias("out"), F.lit(0).alias("center")).unionByName(
+        links.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("center")))
+    open_ = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("center").alias("center"))
+    return open_.filter("out > 1 or (out = 1 and center = 1)").isEmpty()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -126,8 +129,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = durable(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .filter("u is not null and v is not null and u <> v").distinct())
-    state = _state(links)
-    while state[0]:
+    while not _settled(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = durable(both.groupBy("u").agg(F.min("v").alias("m")))
         links = durable(
@@ -137,9 +139,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links = durable(
             links.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        new = _state(links)
-        if new == state:
-            break
-        state = new
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
