@@ -260,9 +260,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "pa", "pb").mapInArrow(check, "a long, b long")
 
 
-def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends are not yet in one component of (node, root)."""
-    roots = durable(joined)
     return durable(
         pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
         .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
@@ -303,18 +302,18 @@ def near_duplicates(
     sets = full_sets(rows, best.select("id"), width)
     first = best.select("a", "b").distinct()
     links = durable(confirmed(first, sets, percent))
-    links = durable(links.unionByName(confirmed(apart(found.select("a", "b").join(first, ["a", "b"], "left_anti"), components(links)), sets, percent)))
+    joined = durable(components(links))
+    more = apart(found.select("a", "b").join(first, ["a", "b"], "left_anti"), joined)
 
     # Crowded regions, where neighbours in order are but a part of the candidates.
-    joined = durable(components(links))
-    crowded = best.filter(F.col("candidates") >= CROWD).select("id").join(joined.withColumnRenamed("node", "id"), "id", "left").select(
-        "id", F.coalesce("root", "id").alias("root"))
-    rooted = durable(crowded)
+    rooted = durable(
+        best.filter(F.col("candidates") >= CROWD).select("id").join(joined.withColumnRenamed("node", "id"), "id", "left")
+        .select("id", F.coalesce("root", "id").alias("root")))
     if not rooted.isEmpty():
         counts = durable(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
-        likely = durable(around(
-            heads.select("id", "sig").join(rooted.join(counts, "root"), "id").select("id", "sig", "root", "n"), percent).distinct())
-        links = links.unionByName(confirmed(likely.join(found, ["a", "b"], "left_anti"), sets, percent))
+        placed = heads.select("id", "sig").join(rooted.join(counts, "root"), "id").select("id", "sig", "root", "n")
+        more = durable(more.unionByName(around(placed, percent).join(first, ["a", "b"], "left_anti")).distinct())
+    links = links.unionByName(confirmed(more, sets, percent))
 
     # Rows with one id but different sets tie these sets together.
     twice = member.groupBy("id").agg(F.min("head").alias("b"), F.max("head").alias("c")).filter("b <> c").select("id", "b")
