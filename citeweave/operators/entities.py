@@ -151,7 +151,7 @@ def parse(outputs: DataFrame, key: str, text: str) -> DataFrame:
         F.transform("a", lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"))).alias("pairs"),
         "evidence", "source", "type")
     parts = F.transform(F.split("v", r"\|"), T.strip)
-    tagged = F.filter(F.slice(parts, 2, 10000), lambda p: F.contains(p, F.lit(":")))
+    tagged = F.filter(F.slice(parts, 2, F.size(parts)), lambda p: F.contains(p, F.lit(":")))
     pairs = F.filter(F.transform(tagged, lambda p: F.struct(
         F.lower(T.strip(F.substring_index(p, ":", 1))).alias("k"),
         T.strip(F.substring(p, F.instr(p, ":") + 1, F.length(p))).alias("v"))), lambda s: s["v"] != "")
@@ -163,7 +163,7 @@ def parse(outputs: DataFrame, key: str, text: str) -> DataFrame:
     filed = opened.unionByName(piped).filter(F.col("entity") != "")
     # Later values of one attribute win; sorted entries make blocks comparable.
     last_of = lambda p: F.filter(p, lambda x, i: ~F.exists(
-        F.slice(p, i + 2, 10000), lambda y: y["k"] == x["k"]))
+        F.slice(p, i + 2, F.size(p)), lambda y: y["k"] == x["k"]))
     filed = filed.withColumn("pairs", F.array_sort(last_of(F.col("pairs"))))
     same = F.to_json(F.struct("entity", "pairs", "evidence", "source", "type"))
     order = Window.partitionBy(key).orderBy("at", "sub")

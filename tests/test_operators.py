@@ -189,9 +189,10 @@ def test_markdown_lists(spark):
 def test_gap_rules(spark):
     text = ("1. There is no data on the IL-17A axis. More here.\n2. No significant difference was observed in X today.\n"
             "3. Further study is needed on Ti-6Al-4V wear.\n4. No data.\n5. The role of Y is unknown so far.\n6. Z is unexplored in bone tissue.")
-    rows = gaps.to_queries(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").orderBy("rank").collect()
+    rows = gaps.to_queries(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t", most=3).orderBy("rank").collect()
     assert [r["query"] for r in rows] == ["data on the IL-17A axis", "Ti-6Al-4V wear", "The role of Y is unknown so far"]
     assert rows[0].context == "More here."
+    assert gaps.to_queries(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").count() == 4
 
 
 def test_anchoring_rules(spark):
