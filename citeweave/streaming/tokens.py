@@ -23,7 +23,7 @@ def looping(tail: str) -> bool:
     return len(tail) >= 400 and len(tail) / max(len(zlib.compress(tail.encode())), 1) >= TAIL_RATIO
 
 
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState, quiet_ms: int) -> Iterator[pd.DataFrame]:
+def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState, quiet_ms: int | None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:  # the output has ended; its verdict was given with its last token
         state.remove()
         return
@@ -35,15 +35,18 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState, quiet_ms:
         bad = bad or any(looping(tail[max(0, end - TAIL):end]) for end in range(len(tail), 0, -(TAIL // 2)))
         tail = tail[-TAIL:]
     state.update((tail, seen, bad))
-    state.setTimeoutDuration(quiet_ms)
+    if quiet_ms is not None:
+        state.setTimeoutDuration(quiet_ms)
     yield pd.DataFrame([(key[0], seen, bad)], columns=["stream_id", "seen", "degraded"])
 
 
-def monitor(tokens: DataFrame, quiet_ms: int = 600_000) -> DataFrame:
+def monitor(tokens: DataFrame, quiet_ms: int | None = None) -> DataFrame:
     """``(stream_id, seq, token)`` stream to the current verdict per output.
 
-    State is a bounded tail per output, removed when the output has been quiet for ``quiet_ms``.
+    State is a bounded tail per output. With ``quiet_ms`` it is removed once the output
+    has been quiet for so long; such a stream runs on without new data, so a run that
+    should end with its input leaves it out.
     """
     return tokens.groupBy("stream_id").applyInPandasWithState(
         lambda key, batches, state: _advance(key, batches, state, quiet_ms), OUT, STATE, "update",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.NoTimeout if quiet_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
