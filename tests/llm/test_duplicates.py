@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from citeweave.llm import credentials, forest, licenses, lines, spaced_seeds
+from citeweave.llm import credentials, crowds, forest, licenses, lines, spaced_seeds
 from citeweave.llm.common import components
 from tests.llm.conftest import BASE, ODD
 
@@ -138,6 +138,60 @@ def test_lines_against_brute_force(frame, sample):
             assert kept[d] == "\n".join(x for i, x in enumerate(parts) if i not in gone)
 
 
+def crowd_lines(seed, pairs, strangers):
+    """Lines of one template a little less than 0.8 alike, and pairs among them that are a little more."""
+    rnd = random.Random(seed)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    fixed = word(120)
+    made = [fixed + word(15) for _ in range(strangers)]
+    for _ in range(pairs):
+        own = word(3)
+        made += [fixed + own + word(12), fixed + own + word(12)]
+    rnd.shuffle(made)
+    return [(k, "\n".join(made[10 * k:10 * k + 10])) for k in range(-(-len(made) // 10))]
+
+
+def test_pairs_in_a_crowd_of_lines(frame):
+    rows = crowd_lines(5, 300, 1400)
+    want = brute_lines(rows)
+    assert sum(len(x.split(",")) for x in want.values() if x) >= 300
+    assert {r.doc_id: r.dropped for r in lines.dedup_lines(frame(rows)).collect()} == want
+
+
+def test_lines_of_a_key_meet_or_stand_in_its_crowd():
+    rnd = np.random.default_rng(3)
+    for size in (2, 12, 13, 40, 300):
+        own = rnd.permutation(size).astype(np.int64)
+        met, sent = set(), []
+        for part in np.array_split(own, 3):
+            pairs, stand = lines.tie(np.full(len(part), 7, dtype=np.uint64), part, np.ones(len(part), dtype=np.int64))
+            met |= set(map(tuple, pairs.tolist()))
+            sent.append(stand)
+        met |= set(map(tuple, lines.tie(*(np.concatenate(x) for x in zip(*sent, strict=True)))[0].tolist()))
+        assert all((a, b) in met or {(a, a), (b, b)} <= met for b in range(size) for a in range(b))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_crowd_join_is_exact(spark, percent):
+    rnd = np.random.default_rng(percent)
+    words = rnd.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)
+    sets = []
+    for k in range(300):
+        own = words[:60 + k % 7] if k % 2 else sets[rnd.integers(len(sets))] if sets else words[:5]
+        own = np.unique(np.where(rnd.random(len(own)) < 0.08, rnd.choice(words, len(own)), own))
+        sets.append(own)
+    roots = [k // 3 if k % 5 else 0 for k in range(300)]
+    df = spark.createDataFrame([(k, r, bytearray(x.tobytes())) for k, (r, x) in enumerate(zip(roots, sets, strict=True))], "id long, root long, packed binary")
+    got = {(r.a, r.b) for r in crowds.pairs(df, percent).collect()}
+    want = set()
+    for b in range(300):
+        for a in range(b):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if roots[a] != roots[b] and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                want.add((a, b))
+    assert want and want <= got and all(roots[a] != roots[b] for a, b in got)
+
+
 def test_lines_of_odd_rows(frame):
     got = lines.dedup_lines(frame(ODD)).collect()
     assert len(got) == len(ODD)
