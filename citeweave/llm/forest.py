@@ -5,8 +5,9 @@ the signature's entries. In a tree, sets are sorted by their reordered signature
 so that neighbours share the longest prefixes. Around each set the search goes as
 deep as its region needs: in a thin region all sets with the least common prefix
 are candidates of each other, in a crowded one the neighbours in order are those
-with the longest prefixes there, and each tree brings others. Candidates are
-confirmed on the full shingle sets, and links are joined to components.
+with the longest prefixes there, and the sets of crowded regions are also joined
+exactly. Candidates are confirmed on the full shingle sets, and links are joined to
+components.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeweave.llm import crowds
 from citeweave.llm.common import components, folded_words, id_filter, may_hold, mix64, odd_numbers, slices, texts
 from citeweave.session import durable
 
-#: Trees, entries that neighbours share at least, entries of a tree's order. Crowded
-#: regions are told apart by the long orders: what is likest stands next to it.
+#: Trees, entries that neighbours share at least, entries of a tree's order.
 TREES = 24
 LEAST = 4
 DEPTH = 28
@@ -32,13 +33,6 @@ DEPTH = 28
 ENTRIES = TREES * LEAST
 #: Neighbours on each side that a set is compared with.
 NEAR = 3
-#: A set with so many candidates stands in a crowded region. What is still apart there is
-#: compared by signature with the rows around it in every tree, and the ``PICK`` likest
-#: of a tree whose estimate is less than ``SLACK`` below the threshold are confirmed.
-CROWD = 4 * NEAR
-AROUND = 64
-PICK = 4
-SLACK = 0.12
 #: Shingles hashed at once.
 SPAN = 4096
 
@@ -146,79 +140,50 @@ def common_entries(labels: list[bytes]) -> np.ndarray:
 
 
 def neighbours(heads: DataFrame) -> DataFrame:
-    """``a, b, depth``: candidates among (id, sig), with the depth of their common prefix.
+    """``a, b, depth``: candidates among (id, sig), with the depth of their common prefix; ``a`` equals ``b`` for a row of a crowd.
 
     A row is compared with the ``NEAR`` rows after it in its tree while they share ``LEAST`` entries.
+    Where the row behind these still shares them, both ends stand in a crowd, as do the rows at the
+    ends of a partition, whose neighbours are elsewhere: two rows that share ``LEAST`` entries in a
+    tree are compared or are both rows of a crowd.
     """
+    def rows(a: np.ndarray, b: np.ndarray, depth: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(depth.astype(np.int32))], ["a", "b", "depth"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list] = ([], [], [])
+        begun = 0
         for batch in batches:
             new = [batch.column(c).to_pylist() for c in ("tree", "label", "id")]
             tree, label, own = (h + n for h, n in zip(held, new, strict=True))
             fresh = len(held[0])
-            held = tuple(x[-NEAR:] for x in (tree, label, own))
-            if len(own) < 2:
-                continue
-            trees, ids = np.asarray(tree), np.asarray(own)
-            step = np.where(trees[1:] == trees[:-1], common_entries(label), 0)
+            held = tuple(x[-NEAR - 1:] for x in (tree, label, own))
+            crowd = [np.asarray(new[2][:max(0, NEAR - begun)], dtype=np.int64)]
+            begun += len(new[2])
             a, b, depth = [], [], []
-            shared = step
-            for gap in range(1, min(NEAR, len(ids) - 1) + 1):
-                if gap > 1:  # entries shared over a gap: the least of the steps in it
-                    shared = np.minimum(shared[:-1], step[gap - 1:])
-                # Pairs that end among the rows held back were given with the last batch.
-                at = np.flatnonzero((shared >= LEAST) & (np.arange(len(shared)) + gap >= fresh))
-                a.append(ids[at]), b.append(ids[at + gap]), depth.append(shared[at])
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(depth).astype(np.int32))],
-                    ["a", "b", "depth"])
+            if len(own) > 1:
+                trees, ids = np.asarray(tree), np.asarray(own)
+                step = np.where(trees[1:] == trees[:-1], common_entries(label), 0)
+                shared = step
+                for gap in range(1, min(NEAR + 1, len(ids) - 1) + 1):
+                    if gap > 1:  # entries shared over a gap: the least of the steps in it
+                        shared = np.minimum(shared[:-1], step[gap - 1:])
+                    # Pairs that end among the rows held back were given with the last batch.
+                    at = np.flatnonzero((shared >= LEAST) & (np.arange(len(shared)) + gap >= fresh))
+                    if gap > NEAR:
+                        crowd += [ids[at], ids[at + gap]]
+                        continue
+                    at = at[ids[at] != ids[at + gap]]
+                    a.append(ids[at]), b.append(ids[at + gap]), depth.append(shared[at])
+            crowd = np.unique(np.concatenate(crowd))
+            yield rows(np.concatenate([*a, crowd]), np.concatenate([*b, crowd]), np.concatenate([*depth, np.zeros(len(crowd), dtype=np.int64)]))
+        ends = np.asarray(held[2][-NEAR:], dtype=np.int64)
+        yield rows(ends, ends, np.zeros(len(ends), dtype=np.int64))
 
     return in_trees(heads.select("id", "sig")).mapInArrow(run, "a long, b long, depth int")
 
 
-def around(rooted: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: likely pairs between components in crowded regions, from (id, sig, root, n).
-
-    ``root`` is the component found so far and ``n`` its size. Each row looks for the
-    likest sets of other, not smaller components among the ``AROUND`` rows before and
-    after it, judged by whole signatures.
-    """
-    lowest = percent / 100 - SLACK
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, ENTRIES)
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "id", "root", "n")] + [sigs]
-            fresh = 0 if held is None else len(held[0])
-            tree, ids, root, n, sigs = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            held = [x[-AROUND:] for x in (tree, ids, root, n, sigs)]
-            me, other, like = [], [], []
-            for gap in range(1, min(AROUND, len(ids) - 1) + 1):
-                i = np.flatnonzero((tree[:-gap] == tree[gap:]) & (root[:-gap] != root[gap:]) & (np.arange(len(ids) - gap) + gap >= fresh))
-                j = i + gap
-                est = (sigs[i] == sigs[j]).mean(axis=1)
-                good = est >= lowest
-                i, j, est = i[good], j[good], est[good]
-                for x, y in ((i, j), (j, i)):
-                    smaller = n[x] <= n[y]
-                    me.append(x[smaller]), other.append(y[smaller]), like.append(est[smaller])
-            if not me:
-                continue
-            me, other, like = (np.concatenate(x) for x in (me, other, like))
-            order = np.lexsort((-like, me))
-            me, other = me[order], other[order]
-            first = np.concatenate(([True], me[1:] != me[:-1])) if len(me) else np.zeros(0, dtype=bool)
-            nth = np.arange(len(me)) - np.maximum.accumulate(np.where(first, np.arange(len(me)), 0))
-            me, other = ids[me[nth < PICK]], ids[other[nth < PICK]]
-            if len(me):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(me, other)), pa.array(np.maximum(me, other))], ["a", "b"])
-
-    return in_trees(rooted).select("tree", "id", "root", "n", "sig").mapInArrow(run, "a long, b long")
-
-
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``id, packed``: full shingle sets of the documents whose id is wanted (and of a few others)."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select(F.xxhash64("id").alias("h")), "h"))
@@ -292,27 +257,24 @@ def near_duplicates(
     member = durable(full.select("id", "set_key").join(heads.select("set_key", F.col("id").alias("head")), "set_key").select("id", "head"))
 
     # Each set with the neighbour that it meets in most trees first, then all pairs that this leaves apart.
-    found = durable(neighbours(heads).filter("a <> b").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("trees"), F.max("depth").alias("depth")))
+    told = durable(neighbours(heads).groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"), F.max("depth").alias("depth")))
+    found, crowd = told.filter("a <> b"), told.filter("a = b").select(F.col("a").alias("id"))
     rank = F.struct("trees", "depth", F.struct("a", "b").alias("pair"))
     sides = found.select(F.explode(F.array("a", "b")).alias("id"), rank.alias("r"))
     best = durable(
-        sides.groupBy("id").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("candidates"))
-        .select("id", "candidates", "r.pair.a", "r.pair.b"))
-    sets = full_sets(rows, best.select("id"), width)
+        sides.groupBy("id").agg(F.max("r").alias("r")).select("id", "r.pair.a", "r.pair.b"))
+    sets = full_sets(rows, best.select("id").unionByName(crowd), width)
     first = best.select("a", "b").distinct()
     links = durable(confirmed(first, sets, percent))
     joined = durable(components(links))
     more = apart(found.select("a", "b").join(first, ["a", "b"], "left_anti"), joined)
 
-    # Crowded regions, where neighbours in order are but a part of the candidates.
-    rooted = durable(
-        best.filter(F.col("candidates") >= CROWD).select("id").join(joined.withColumnRenamed("node", "id"), "id", "left")
-        .select("id", F.coalesce("root", "id").alias("root")))
-    if not rooted.isEmpty():
-        counts = durable(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
-        placed = heads.select("id", "sig").join(rooted.join(counts, "root"), "id").select("id", "sig", "root", "n")
-        more = durable(more.unionByName(around(placed, percent).join(first, ["a", "b"], "left_anti")).distinct())
+    # Crowded regions, where neighbours in order are but a part of the candidates, are joined exactly.
+    if not crowd.isEmpty():
+        placed = durable(
+            crowd.join(joined.withColumnRenamed("node", "id"), "id", "left").join(sets, "id")
+            .select("id", F.coalesce("root", "id").alias("root"), "packed"))
+        more = durable(more.unionByName(crowds.pairs(placed, percent).join(first, ["a", "b"], "left_anti")).distinct())
     links = links.unionByName(confirmed(more, sets, percent))
 
     # Rows with one id but different sets tie these sets together.

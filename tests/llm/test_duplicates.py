@@ -81,6 +81,21 @@ def test_near_duplicates_against_brute_force(frame, sample, width, percent):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
 
 
+def test_pairs_in_a_crowd_below_the_threshold(frame):
+    rnd = random.Random(11)
+    word = lambda: "w%d" % rnd.randrange(10**9)
+    fixed = [word() for _ in range(200)]
+    made = [fixed + [word() for _ in range(20)] for _ in range(1000)]
+    for _ in range(300):
+        own = [word() for _ in range(3)]
+        made += [fixed + own + [word() for _ in range(17)] for _ in range(2)]
+    rnd.shuffle(made)
+    rows = [(k, " ".join(w)) for k, w in enumerate(made)]
+    want, _ = brute_components(rows, 3, 85)
+    assert sum(d != c for d, c in want.items()) >= 300
+    assert {r.doc_id: r.component_id for r in forest.near_duplicates(frame(rows)).collect()} == want
+
+
 def test_near_duplicates_of_odd_rows(frame):
     got = forest.near_duplicates(frame(ODD)).collect()
     assert len(got) == len(ODD)
