@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import credentials, forest, langid, licenses, lines, logbilinear, mixing, order_minhash, spaced_seeds, tokens
+from citeweave.llm import (
+    credentials, factorisation, fim, forest, langid, licenses, lines, logbilinear, mixing, order_minhash, runs, spaced_seeds, tokens)
 from citeweave.llm.common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +146,38 @@ def op5_log_bilinear(spark: SparkSession, base: str) -> DataFrame:
 @query("op10_license_scan")
 def op10_license_scan(spark: SparkSession, base: str) -> DataFrame:
     return licenses.scan(documents(spark, base, "doc_id", "text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, base: str) -> DataFrame:
+    """The texts of one id in ten are first made periodic from a drawn word on, as the contract has it."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    a, p, n = F.col("a").cast("int"), F.col("p").cast("int"), F.size("words")
+    drawn = documents(spark, base, "doc_id", "text").withColumn("h", h).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))))
+    drawn = drawn.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(n > 0, F.col("g") % n))
+    drawn = drawn.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    periodic = F.concat_ws(" ", F.slice("words", F.lit(1), a), F.slice(again, F.lit(1), n - a))
+    found = runs.periodic_runs(drawn.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(periodic).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_quality")
+def op12_quality(spark: SparkSession, base: str) -> DataFrame:
+    docs = documents(spark, base, "doc_id", "text", "n_chars").withColumn("held_out", fold("doc_id", 5) == 0)
+    labels = spark.read.parquet(f"{base}/labels.parquet").select("doc_id", "quality").filter(fold("doc_id", 5) != 0)
+    machine = factorisation.fit(docs.filter("not held_out"), labels, metadata=("n_chars",))
+    return factorisation.score(docs, machine, metadata=("n_chars",), keep=["held_out"]).withColumn(
+        "predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op13_fill_in_middle")
+def op13_fill_in_middle(spark: SparkSession, base: str) -> DataFrame:
+    return fim.digests(fim.restore(fim.arrange(documents(spark, base, "doc_id", "text"))))
