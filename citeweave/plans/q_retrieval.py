@@ -90,17 +90,17 @@ def bm25_stored_index(spark, base):
     docs = _docs(spark, base)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
     half = F.col("doc_id") % 2 == 0
-    index = LexicalIndex(spark, path).append(docs.filter(half), "doc_id", "text").append(docs.filter(~half), "doc_id", "text")
+    index = LexicalIndex.empty(spark, path).append(docs.filter(half), "doc_id", "text").append(docs.filter(~half), "doc_id", "text")
     best = index.topk(table(spark, base, "benchmark"), "item_id", "text", 20)
     return best.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
 @query("bm25_terms", f"""
-WITH toks AS MATERIALIZED (SELECT doc_id, unnest({A.words('text')}) AS term FROM documents),
+WITH own AS (SELECT list_distinct({A.words('text')}) AS w FROM documents),
 tot AS (SELECT count(*) AS n FROM documents),
-raw AS MATERIALIZED (SELECT term, count(DISTINCT doc_id) AS df FROM toks GROUP BY term),
+raw AS (SELECT term, count(*) AS df FROM (SELECT unnest(w) AS term FROM own) GROUP BY term),
 wt AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM raw, tot),
-fl AS MATERIALIZED (SELECT 0.25 * avg(idf) AS floor FROM wt)
+fl AS (SELECT 0.25 * avg(idf) AS floor FROM wt)
 SELECT term, df, round(CASE WHEN idf < 0 THEN floor ELSE idf END, 6) AS idf FROM wt, fl
 """)
 def bm25_terms(spark, base):

@@ -52,7 +52,7 @@ def main() -> None:
         try:
             got = queries[name](spark, base).toPandas()
         except Exception as e:  # noqa: BLE001
-            print(f"ERR  {name}: {str(e)[:1500]}", flush=True)
+            print(f"ERR  {name}: {str(e)[:1200] + " ... " + str(e)[-2500:]}", flush=True)
             bad += 1
             continue
         t1 = time.time()
@@ -62,7 +62,7 @@ def main() -> None:
         try:
             want = con.sql(sql[name]).df()
         except Exception as e:  # noqa: BLE001
-            print(f"SQLERR {name}: {str(e)[:1500]}", flush=True)
+            print(f"SQLERR {name}: {str(e)[:1200] + " ... " + str(e)[-2500:]}", flush=True)
             bad += 1
             continue
         t2 = time.time()
