@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeweave.operators import dense, themes
+from citeweave.operators.vector_index import VectorIndex, similar_pairs
+from citeweave.plans.q_retrieval import DENSE_ALL
+from citeweave.plans.q_streams import folder
 from citeweave.plans.registry import query
 from citeweave.sources.tables import table
 
@@ -86,3 +89,38 @@ def theme_matrix(spark, base):
     th = _themes(spark, base)
     probes = th.select(F.col("theme").alias("other"), F.col("centroid").alias("c2"))
     return dense.within(th, "theme", "centroid", probes, "other", "c2", -2.0).withColumn("value", F.round("value", 6))
+
+
+def _probes(spark, base):
+    return table(spark, base, "benchmark").select("item_id").join(
+        _vectors(spark, base).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q")), "item_id")
+
+
+@query("index_nearest", f"WITH {DENSE_ALL} SELECT item_id, vec_id, round(dist, 6) AS dist, rank FROM den WHERE rank <= 10")
+def index_nearest(spark, base):
+    """Nearest vectors of each question's vector, from the stored index."""
+    index = VectorIndex.build(_vectors(spark, base), "vec_id", "embedding", folder(spark))
+    return index.nearest(_probes(spark, base), "item_id", "q", 10).select(
+        F.col("probe").alias("item_id"), F.col("item").alias("vec_id"), F.round("distance", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
+UNITS = """
+n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+k AS (SELECT v, min(vec_id) AS class FROM n WHERE list_inner_product(v, v) > 0 GROUP BY v)
+"""
+
+
+@query("index_pairs", f"""
+WITH {UNITS} SELECT a.class AS a, b.class AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine
+FROM k a JOIN k b ON a.class < b.class AND list_cosine_similarity(a.v, b.v) >= 0.35
+""")
+def index_pairs(spark, base):
+    """All pairs of different vectors with a cosine of at least 0.35."""
+    pairs, _ = similar_pairs(_vectors(spark, base), "vec_id", "embedding", 0.35, folder(spark))
+    return pairs.withColumn("cosine", F.round("cosine", 6))
+
+
+@query("index_classes", f"WITH {UNITS} SELECT vec_id AS item, class FROM n JOIN k USING (v)")
+def index_classes(spark, base):
+    """The class of equal vectors that each vector belongs to."""
+    return similar_pairs(_vectors(spark, base), "vec_id", "embedding", 0.35, folder(spark))[1]
