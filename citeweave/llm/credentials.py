@@ -27,8 +27,12 @@ BASE = (
 #: The loose pattern: words of 20 or more of these characters that mix upper case, lower case and digits.
 LOOSE = ("loose", r"[A-Za-z0-9_-]{20,}", 0, 20)
 MIXED = (r"[a-z]", r"[A-Z]", r"[0-9]")
-#: A value of so many owners is a copied example.
+#: A value of so many owners, or in so many repositories, is a copied example.
 WIDE = 3
+MANY = 10
+
+#: What the counts say of a value.
+SHARED, LIVE = "shared", "live"
 
 
 def found(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -105,13 +109,15 @@ def listed(spans: Column) -> Column:
 
 def scan(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source",
-    wide: int = WIDE,
+    wide: int = WIDE, many: int = MANY,
 ) -> DataFrame:
     """Per document: base counts and digest, all spans, and how many spans are copied examples or look live.
 
     Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_loose, n_shared,
-    n_live``. A span is shared if ``wide`` or more owners have its value, live if one
-    owner has it. Loose spans are only listed if live and not inside a base span.
+    n_live``. A span is shared if ``wide`` or more owners have its value or if it stands in
+    ``many`` or more repositories, be they of one owner; it is live if one owner has it in
+    fewer repositories. Between the two it is neither. Loose spans are only listed if live
+    and not inside a base span.
 
     A null text is empty. Repeated rows get equal results and count once as a
     repository; a null id passes through; an empty table gives no rows; other columns
@@ -126,17 +132,18 @@ def scan(
     # Copies of a document ask alike: one question per row key. Both sides are tables, so
     # that the adaptive planner can split the questions after a value that very many have.
     asked = durable(some.select("row", F.explode("spans.hash").alias("hash")).distinct())
+    shared = (F.col("n_owners") >= wide) | (F.col("n_repos") >= many)
+    told = counts.select("hash", F.when(shared, SHARED).when(F.col("n_owners") == 1, LIVE).otherwise(F.lit("")).alias("told"))
     verdict = durable(
-        asked.join(counts, "hash").groupBy("row").agg(
-            F.map_from_entries(F.collect_list(F.struct("hash", "n_owners"))).alias("owners")))
+        asked.join(told, "hash").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("hash", "told"))).alias("told")))
     joined = spans.join(verdict, "row", "left")
     base = F.filter("spans", lambda x: x["kind"] != "loose")
-    owners = lambda x: F.element_at("owners", x["hash"])
+    is_ = lambda x, what: F.element_at("told", x["hash"]) == what
     inside = lambda x: F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    shown = F.filter("spans", lambda x: (x["kind"] != "loose") | ((owners(x) == 1) & ~inside(x)))
+    shown = F.filter("spans", lambda x: (x["kind"] != "loose") | (is_(x, LIVE) & ~inside(x)))
     count = lambda part: F.size(part).cast("long")
     return joined.withColumn("base", base).withColumn("shown", shown).select(
         "doc_id", *[count(of_kind("base", k)).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("shown")).alias("spans"),
-        count(of_kind("shown", "loose")).alias("n_loose"), count(F.filter("shown", lambda x: owners(x) >= wide)).alias("n_shared"),
-        count(F.filter("shown", lambda x: owners(x) == 1)).alias("n_live"))
+        count(of_kind("shown", "loose")).alias("n_loose"), count(F.filter("shown", lambda x: is_(x, SHARED))).alias("n_shared"),
+        count(F.filter("shown", lambda x: is_(x, LIVE))).alias("n_live"))

@@ -119,15 +119,16 @@ _MIXED_SQL = " AND ".join(f"regexp_matches(v, '{p}')" for p in credentials.MIXED
 WITH base AS ({" UNION ALL ".join(_found_sql(r, *k) for r, k in enumerate(credentials.BASE))}),
 loose AS (SELECT * FROM ({_found_sql(3, *credentials.LOOSE)}) WHERE {_MIXED_SQL}),
 al AS (SELECT * FROM base UNION ALL SELECT * FROM loose),
-owned AS (SELECT v, count(DISTINCT coalesce(source, '~')) AS n_owners FROM al GROUP BY v),
-shown AS (SELECT al.*, n_owners FROM al JOIN owned USING (v) WHERE kind <> 'loose' OR (n_owners = 1 AND NOT EXISTS (
+owned AS (SELECT v, count(DISTINCT coalesce(source, '~')) AS n_owners, count(DISTINCT coalesce(doc_id::VARCHAR, '~')) AS n_repos FROM al GROUP BY v),
+told AS (SELECT v, n_owners >= {credentials.WIDE} OR n_repos >= {credentials.MANY} AS shared, n_owners = 1 AND n_repos < {credentials.MANY} AS live FROM owned),
+shown AS (SELECT al.*, shared, live FROM al JOIN told USING (v) WHERE kind <> 'loose' OR (live AND NOT EXISTS (
   SELECT 1 FROM base b WHERE b.doc_id = al.doc_id AND b.start < al."end" AND al.start < b."end"))),
 agg AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
   count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) FILTER (kind <> 'loose') AS base_spans,
   string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) AS spans,
-  count(*) FILTER (kind = 'loose') AS n_loose, count(*) FILTER (n_owners >= {credentials.WIDE}) AS n_shared,
-  count(*) FILTER (n_owners = 1) AS n_live FROM shown GROUP BY doc_id)
+  count(*) FILTER (kind = 'loose') AS n_loose, count(*) FILTER (shared) AS n_shared,
+  count(*) FILTER (live) AS n_live FROM shown GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_loose, 0) AS n_loose,
   coalesce(n_shared, 0) AS n_shared, coalesce(n_live, 0) AS n_live

@@ -282,7 +282,7 @@ PIECES = ["password", "Token", "API_KEY", "apikey", "=", ":", " ", '"', "'", "ab
 def brute_secrets(rows):
     kinds = [(k, re.compile(p, re.ASCII), g, n) for k, p, g, n in credentials.BASE]
     loose = re.compile(credentials.LOOSE[1])
-    spans, owners = {}, defaultdict(set)
+    spans, owners, repos = {}, defaultdict(set), defaultdict(set)
     for d, t, s in rows:
         t, own = t or "", []
         for rank, (k, p, g, n) in enumerate(kinds):
@@ -291,15 +291,18 @@ def brute_secrets(rows):
         spans[d] = sorted(own)
         for x in own:
             owners[x[4]].add(s)
+            repos[x[4]].add(d)
+    shared = {v for v in owners if len(owners[v]) >= credentials.WIDE or len(repos[v]) >= credentials.MANY}
+    live = {v for v in owners if len(owners[v]) == 1 and v not in shared}
     out = []
     text = lambda part: ",".join(f"{x[2]}:{x[0]}:{x[3]}" for x in part)
     for d, _, _ in rows:
         base = [x for x in spans[d] if x[2] != "loose"]
         shown = [x for x in spans[d] if x[2] != "loose" or (
-            len(owners[x[4]]) == 1 and not any(y[0] < x[3] and x[0] < y[3] for y in base))]
+            x[4] in live and not any(y[0] < x[3] and x[0] < y[3] for y in base))]
         n = [sum(x[2] == k for x in base) for k in ("assign", "access", "hex")]
         out.append((d, *n, hashlib.sha256(text(base).encode()).hexdigest(), text(shown), sum(x[2] == "loose" for x in shown),
-                    sum(len(owners[x[4]]) >= credentials.WIDE for x in shown), sum(len(owners[x[4]]) == 1 for x in shown)))
+                    sum(x[4] in shared for x in shown), sum(x[4] in live for x in shown)))
     return out
 
 
@@ -315,6 +318,16 @@ def test_secrets_against_brute_force(frame):
     assert [r.n_access for r in again] == [1, 1, 1] and all(r.spans == "access:0:24" for r in again)
 
 
+def test_a_value_copied_within_one_owner_is_no_live_secret(frame):
+    """Many repositories of one owner tell a copied example, a few a live secret; loose spans follow."""
+    key, loose = "AKIA" + "Q7" * 10, "ghp_aB3dE5gH7jK9mN1pQ3sT"
+    copied = [(k, f"{key} and {loose}", "one") for k in range(credentials.MANY)]
+    few = [(100 + k, f"{key[::-1]} AKIA{'B8' * 9} x{loose}", "one") for k in range(credentials.MANY - 1)]
+    got = {r["doc_id"]: r for r in credentials.scan(frame(copied + few)).collect()}
+    assert {(got[k]["n_shared"], got[k]["n_live"], got[k]["n_loose"]) for k in range(credentials.MANY)} == {(1, 0, 0)}
+    assert {(r["n_shared"], r["n_loose"] > 0, r["n_live"] >= 2) for k, r in got.items() if k >= 100} == {(0, True, True)}
+
+
 def test_licences(frame, sample):
     stated = {
         "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
