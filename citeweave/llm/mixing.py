@@ -3,9 +3,11 @@
 Each source gets a target in words. A source whose target is ``r`` times its size
 gives ``floor(r)`` whole copies of every document for certain and a sample of its
 documents for the rest. The sample is drawn by order: with ``u`` uniform and ``p``
-the inclusion probability, documents are ranked by ``(u / (1-u)) / (p / (1-p))``
-and taken from the front until the words wanted are reached, so its size in words
-is fixed and not random.
+the document's own inclusion probability, documents are ranked by
+``(u / (1-u)) / (p / (1-p))`` and taken from the front until the words wanted are
+reached, so its size in words is fixed and not random. Probabilities grow with the
+number of binary digits of a document's size, such that the words expected are those
+wanted; a document whose probability comes to one or more is certain and stands in front.
 
 Long documents are drawn first and short ones after them with what the long ones
 left open, so that each source misses its target by half a short document at most
@@ -31,6 +33,11 @@ def uniform(*keys: str) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
+def strength(size: str) -> Column:
+    """How strongly a document of so many words is drawn: the binary digits of the number."""
+    return F.length(F.bin(size))
+
+
 def targets(sizes: DataFrame, *, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
     """``source, source_size, target`` from one row ``source, source_size`` per source.
 
@@ -65,16 +72,18 @@ def _cut(rows: DataFrame, want: DataFrame) -> DataFrame:
     """``rows`` with a boolean ``drawn``: the front of each source's ranking, up to the words wanted.
 
     ``rows``: doc_id, source_key, size, u; ``want``: source_key, words, p, one row
-    per source. A row is drawn if at least half of it still fits. The cut is
+    per source; ``p`` is the share of the source's words that is wanted, ``odds_size`` and
+    ``odds_total`` make it each document's own. A row is drawn if at least half of it still fits. The cut is
     searched for in two levels of cells of the rank, so that no source is ordered as
     a whole: only the one small cell that holds the cut is.
     """
     # Sources that want nothing drop out here; their rows get no words and are not drawn.
     ranked = rows.join(want.filter("p > 0"), "source_key", "left").withColumn(
-        "rank", F.col("u") / (1 - F.col("u")) * F.greatest(F.lit(0.0), 1 - F.col("p")) / F.col("p"))
+        "p", F.least(F.lit(1.0), F.col("p") * (strength("size") * F.col("odds_size")) / F.col("odds_total"))).withColumn(
+        "rank", F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p"))
     # Rank 1, where the cut is expected, falls in the middle of 0 to 1.
     spot = F.col("rank") / (1 + F.col("rank")) * CELLS
-    celled = ranked.withColumn("c1", F.floor(spot)).withColumn("c2", F.floor((spot - F.floor(spot)) * CELLS)).drop("p")
+    celled = ranked.withColumn("c1", F.floor(spot)).withColumn("c2", F.floor((spot - F.floor(spot)) * CELLS)).drop("p", "odds_size", "odds_total")
 
     def boundary(level: DataFrame, cell: str, left: Column) -> DataFrame:
         """The first cell in which a source's sum passes what is left, with the sum before it."""
@@ -128,19 +137,26 @@ def take(
 
     # Long documents first, short ones with what is left open.
     split = rows.filter("size > 0").join(plan.select("source_key", "mean"), "source_key").withColumn("long", F.expr("size > mean"))
-    long_size = split.filter("long").groupBy("source_key").agg(F.sum("size").alias("long_size"))
+    long_size = split.groupBy("source_key").agg(
+        F.sum(F.when(F.col("long"), F.col("size"))).alias("long_size"),
+        F.sum(F.when(F.col("long"), strength("size") * F.col("size"))).alias("long_total"),
+        F.sum(F.when(~F.col("long"), strength("size") * F.col("size"))).alias("short_total"))
     share_of = durable(
-        plan.join(long_size, "source_key", "left").fillna(0, ["long_size"]).filter("source_size > 0")
+        plan.join(long_size, "source_key", "left").fillna(0, ["long_size", "long_total", "short_total"]).filter("source_size > 0")
         .withColumn("p", F.col("rest") / F.col("source_size")))
     drawn_long = durable(_cut(
         split.filter("long").drop("mean", "long"),
-        share_of.select("source_key", (F.col("p") * F.col("long_size")).alias("words"), "p")))
+        share_of.select(
+            "source_key", (F.col("p") * F.col("long_size")).alias("words"), "p", F.col("long_size").alias("odds_size"),
+            F.col("long_total").alias("odds_total"))))
     got = drawn_long.filter("drawn").groupBy("source_key").agg(F.sum("size").alias("got"))
     short_size = F.col("source_size") - F.col("long_size")
     left = F.greatest(F.lit(0.0), F.least(F.col("rest") - F.coalesce("got", F.lit(0)), short_size.cast("double")))
     want_short = durable(
         share_of.join(got, "source_key", "left").filter(short_size > 0)
-        .select("source_key", left.alias("words"), (left / short_size).alias("p")))
+        .select(
+            "source_key", left.alias("words"), (left / short_size).alias("p"), short_size.alias("odds_size"),
+            F.col("short_total").alias("odds_total")))
     drawn_short = _cut(split.filter("not long").drop("mean", "long"), want_short)
     none = rows.filter("size = 0").select("doc_id", "source_key", "size", F.lit(False).alias("drawn"))
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("drawn").cast("long")).otherwise(F.lit(0)).cast("long")

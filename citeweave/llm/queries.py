@@ -63,15 +63,19 @@ t AS (SELECT *, least(2.0::DOUBLE * source_size, weight * coalesce(max(CASE WHEN
     AS target FROM f),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS base FROM t),
 r AS (SELECT *, target - base * source_size AS rest FROM p),
-j AS (SELECT d.*, r.* EXCLUDE (source), d.size > r.mean AS long FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-ls AS (SELECT source, coalesce(sum(size) FILTER (long), 0) AS long_size FROM j GROUP BY source),
-l AS (SELECT j.*, ls.long_size FROM j JOIN ls ON j.source IS NOT DISTINCT FROM ls.source),
-dl AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size) - size / 2.0
-    <= rest / source_size * long_size AS drawn FROM l WHERE long),
+j AS (SELECT d.*, r.* EXCLUDE (source), d.size > r.mean AS long, length(bin(d.size)) AS strength FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+ls AS (SELECT source, coalesce(sum(size) FILTER (long), 0)::BIGINT AS long_size, coalesce(sum(strength * size) FILTER (long), 0)::BIGINT AS long_total,
+  coalesce(sum(strength * size) FILTER (NOT long AND size > 0), 0)::BIGINT AS short_total FROM j GROUP BY source),
+l AS (SELECT j.*, ls.long_size, ls.long_total, ls.short_total FROM j JOIN ls ON j.source IS NOT DISTINCT FROM ls.source),
+pl AS (SELECT *, rest / source_size AS p FROM l WHERE long),
+ol AS (SELECT *, CASE WHEN p > 0 THEN least(1.0::DOUBLE, p * (strength * long_size) / long_total) END AS own FROM pl),
+dl AS (SELECT *, p > 0 AND sum(size) OVER (PARTITION BY source ORDER BY u / (1 - u) * (1 - own) / own, doc_id, size) - size / 2.0
+    <= p * long_size AS drawn FROM ol),
 g AS (SELECT source, coalesce(sum(size) FILTER (drawn), 0) AS got FROM dl GROUP BY source),
-ds AS (SELECT l.*, sum(size) OVER (PARTITION BY l.source ORDER BY u, doc_id, size) - size / 2.0
-    <= greatest(0.0, least(rest - coalesce(got, 0), source_size - long_size)) AS drawn
+ps AS (SELECT l.*, greatest(0.0::DOUBLE, least(rest - coalesce(got, 0), (source_size - long_size)::DOUBLE)) AS words
   FROM l LEFT JOIN g ON l.source IS NOT DISTINCT FROM g.source WHERE NOT long AND size > 0),
+os AS (SELECT *, CASE WHEN words > 0 THEN least(1.0::DOUBLE, words / (source_size - long_size) * (strength * (source_size - long_size)) / short_total) END AS own FROM ps),
+ds AS (SELECT *, words > 0 AND sum(size) OVER (PARTITION BY source ORDER BY u / (1 - u) * (1 - own) / own, doc_id, size) - size / 2.0 <= words AS drawn FROM os),
 a AS (SELECT doc_id, size, source_size, target, base + drawn::BIGINT AS copies FROM dl
   UNION ALL SELECT doc_id, size, source_size, target, base + drawn::BIGINT FROM ds
   UNION ALL SELECT doc_id, size, source_size, target, 0 FROM l WHERE size = 0)

@@ -117,6 +117,35 @@ def test_mix_meets_its_targets(frame, seed):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def brute_drawn(rows, by_odds=True):
+    """(doc_id, size) drawn beyond the whole copies from one source whose target is its rest."""
+    u = {i: (int(hashlib.md5(f"{i}|s".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48) for i, _ in rows}
+    total = sum(n for _, n in rows)
+    rest, mean = 1.5 * total - total, total / len(rows)
+    drawn = set()
+    want = rest / total
+    for part in ([r for r in rows if r[1] > mean], [r for r in rows if r[1] <= mean]):
+        size = sum(n for _, n in part)
+        weight = sum(n.bit_length() * n for _, n in part)
+        words = want * size if part and part[0][1] > mean else max(0.0, min(rest - sum(n for i, n in rows if i in drawn), size))
+        p = {i: min(1.0, words / size * (n.bit_length() * size) / weight) if by_odds else words / size for i, n in part}
+        upto = 0
+        for i, n in sorted(part, key=lambda r: (u[r[0]] / (1 - u[r[0]]) * (1 - p[r[0]]) / p[r[0]], r[0])):
+            upto += n
+            if upto - n / 2 <= words:
+                drawn.add(i)
+    return drawn
+
+
+def test_mix_ranks_by_each_documents_own_odds(frame):
+    """One source with a target of 1.5 times its size: the drawn half follows the odds, and not the random numbers alone."""
+    rnd = random.Random(8)
+    rows = [(i, int(rnd.paretovariate(0.7) * 3) + 1) for i in range(300)]
+    got = mixing.take(frame([(i, "w " * n, "s") for i, n in rows])).collect()
+    drawn = {r.doc_id for r in got if r.copies == 2}
+    assert {r.copies for r in got} == {1, 2} and drawn == brute_drawn(rows) != brute_drawn(rows, by_odds=False)
+
+
 def test_mix_of_nothing(frame):
     assert mixing.take(frame([(1, "a")]).limit(0)).collect() == []
     assert [r.taken for r in mixing.take(frame([(1, None), (2, "")])).collect()] == [0, 0]
