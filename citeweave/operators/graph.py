@@ -232,27 +232,48 @@ def _local_moves(links: DataFrame, two_m: float, max_sweeps: int) -> tuple[DataF
     return state.select("node", "cid"), moved_any
 
 
-def betweenness(edges: DataFrame, normalised: bool = True) -> DataFrame:
+def betweenness(edges: DataFrame, normalised: bool = True, batch: int = 4096) -> DataFrame:
     """Exact betweenness of an undirected graph ``(u, v)``: ``(node, betweenness)``.
 
-    Shortest-path counting from all sources at once. Forward levels hold
-    ``(source, node, paths)``; dependencies then flow back one level at a time.
-    Meant for the snapshot of one question: state grows with the square of the
-    largest component, as exact betweenness does.
+    Shortest-path counting from bounded batches of about ``batch`` sources. Forward levels
+    of a batch hold ``(source, node, paths)``; dependencies then flow back one level at a
+    time, and the batch leaves one sum for each node. So what is kept at a time grows with
+    the graph and not with its square; the work is that of all sources, as it must be.
+    Nodes with one neighbour lie on no shortest path between others, and what starts at
+    one is what starts at its neighbour: they are sources only through that neighbour,
+    which counts once more for each of them.
     """
     links = durable(both_ways(edges.select("u", "v").distinct()))
-    nodes = durable(links.select(F.col("src").alias("node")).distinct())
-    n = nodes.count()
-    level = nodes.select(F.col("node").alias("source"), "node").withColumn("paths", F.lit(1.0))
-    levels = [durable(level)]
+    degree = durable(links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.min("dst").alias("only")))
+    n = degree.count()
+    leaves = degree.filter("degree = 1")
+    # Paths that start at a leaf pass through its neighbour to all nodes but the two.
+    hung = leaves.groupBy(F.col("only").alias("node")).agg(F.count(F.lit(1)).alias("leaves"))
+    sources = durable(
+        degree.filter("degree > 1").join(hung, "node", "left")
+        .select("node", (F.coalesce("leaves", F.lit(0)) + 1).cast("double").alias("times"), F.coalesce("leaves", F.lit(0)).alias("leaves")))
+    parts = max(1, -(-sources.count() // batch))
+    sums = []
+    for k in range(parts):
+        mine = sources if parts == 1 else sources.filter(F.pmod(F.xxhash64("node"), F.lit(parts)) == k)
+        sums.append(_dependencies(links, mine))
+    total = sums[0]
+    for part in sums[1:]:
+        total = total.unionByName(part)
+    scale = 1.0 / ((n - 1) * (n - 2)) if normalised and n > 2 else 0.5
+    summed = total.groupBy("node").agg((F.sum("dep") * scale).alias("betweenness"))
+    return degree.select("node").join(summed, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+
+
+def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """``node, dep``: what the paths from these sources (and the leaves they stand for) add to each node."""
+    levels = [durable(sources.select(F.col("node").alias("source"), "node").withColumn("paths", F.lit(1.0)))]
     seen = levels[0].select("source", "node")
     while True:
-        grown = (
+        grown = durable(
             levels[-1].join(links, F.col("node") == F.col("src"))
             .groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-            .join(seen, ["source", "node"], "left_anti")
-        )
-        grown = durable(grown)
+            .join(seen, ["source", "node"], "left_anti"))
         if grown.isEmpty():
             break
         levels.append(grown)
@@ -264,21 +285,22 @@ def betweenness(edges: DataFrame, normalised: bool = True) -> DataFrame:
         parts.append(below.select("source", "node", "dep"))
         lifted = (
             below.join(links, F.col("node") == F.col("src"))
-            .select("source", F.col("dst").alias("node"),
-                    ((1.0 + F.col("dep")) / F.col("paths")).alias("share"))
-            .groupBy("source", "node").agg(F.sum("share").alias("share"))
-        )
+            .select("source", F.col("dst").alias("node"), ((1.0 + F.col("dep")) / F.col("paths")).alias("share"))
+            .groupBy("source", "node").agg(F.sum("share").alias("share")))
         below = durable(
             upper.join(lifted, ["source", "node"], "left")
             .withColumn("dep", F.col("paths") * F.coalesce("share", F.lit(0.0))).drop("share"))
-    total = None
-    for p in parts:
-        total = p if total is None else total.unionByName(p)
-    scale = 1.0 / ((n - 1) * (n - 2)) if normalised and n > 2 else 0.5
-    if total is None:
-        return nodes.withColumn("betweenness", F.lit(0.0))
-    sums = total.groupBy("node").agg((F.sum("dep") * scale).alias("betweenness"))
-    return nodes.join(sums, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    times = sources.select(F.col("node").alias("source"), "times", "leaves")
+    # What a source's own paths reach, itself left out, is what its leaves' paths pass through it to reach, less the leaf.
+    own = below.select("source", F.col("source").alias("node"), "dep").join(times, "source").select(
+        "node", (F.col("leaves") * (F.col("dep") - 1.0)).alias("dep"))
+    if not parts:
+        return durable(own)
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    weighed = whole.join(times, "source").groupBy("node").agg(F.sum(F.col("dep") * F.col("times")).alias("dep"))
+    return durable(weighed.unionByName(own).groupBy("node").agg(F.sum("dep").alias("dep")))
 
 
 def community_digest(member: DataFrame, nodes: DataFrame) -> DataFrame:
