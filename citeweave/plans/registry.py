@@ -32,7 +32,7 @@ def sql_of(name: str) -> str:
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """Import every query module and return both dictionaries."""
     from citeweave.plans import (  # noqa: F401
-        q_anchoring, q_chunks, q_claims, q_entities, q_flows, q_graph, q_json, q_metrics, q_render, q_retrieval, q_scorecard,
+        q_anchoring, q_chunks, q_claims, q_entities, q_flows, q_gaps, q_graph, q_json, q_metrics, q_render, q_retrieval, q_scorecard,
         q_security, q_state, q_streams, q_upkeep, q_vectors,
     )
     return dict(_QUERIES), dict(_SQL)
