@@ -20,7 +20,9 @@ from citeweave.llm.common import id_filter, may_hold, mix64, slices
 from citeweave.session import durable
 
 #: Bits of a slot number of the count table.
-SLOT_BITS = 20
+SLOT_BITS = 18
+#: Slots that travel together when counts are added up.
+PART = 1 << 12
 #: 64-bit words of a set's parity map.
 WORDS = 4
 
@@ -30,19 +32,34 @@ def slots(values: np.ndarray) -> np.ndarray:
 
 
 def element_counts(sets: DataFrame) -> np.ndarray:
-    """For each slot the number of elements, over all sets of (packed), that fall into it."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each slot the number of elements, over all sets of (packed), that fall into it.
+
+    Tasks send their tables in parts of ``PART`` slots; parts with one number are added up as they stream by, so the
+    driver gets each part once, packed.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         for batch in slices(batches):
             for x in batch.column("packed"):
                 np.add.at(table, slots(np.frombuffer(x.as_buffer(), dtype=np.uint64)), 1)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["slot", "n"])
+        parts = table.reshape(-1, PART)
+        at = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([parts[k].tobytes() for k in at], pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in slices(batches):
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
-    found = sets.select("packed").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(1 << SLOT_BITS, dtype=np.int64)
-    table[found["slot"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
-    return table
+    kind = "part int, counts binary"
+    found = sets.select("packed").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).toArrow()
+    table = np.zeros((1 << SLOT_BITS) // PART * PART, dtype=np.int64).reshape(-1, PART)
+    for part, counts in zip(found.column("part").to_pylist(), found.column("counts"), strict=True):
+        table[part] = np.frombuffer(counts.as_buffer(), dtype=np.int64)
+    return table.ravel()
 
 
 def parity(values: np.ndarray) -> np.ndarray:
@@ -105,6 +122,7 @@ def pairs(sets: DataFrame, percent: int) -> DataFrame:
     rows = durable(
         sets.select("id", "root", "packed")
         .mapInArrow(meet, "key long, id long, root long, size int, place int, " + ", ".join(f"{w} long" for w in words)))
+    counts.destroy(), bits.destroy()  # all that needs them is written
     x, y = rows.alias("x"), rows.alias("y")
     col = lambda side, name: F.col(f"{side}.{name}")
     both = col("x", "size") + col("y", "size")
