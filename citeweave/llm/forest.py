@@ -198,7 +198,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     ["id", "packed"])
 
     rows = docs.filter("id is not null").select("id", F.xxhash64("id").alias("h"), "text")
-    return durable(rows.mapInArrow(build, T.StructType([docs.schema["id"], T.StructField("packed", T.BinaryType())])))
+    made = durable(rows.mapInArrow(build, T.StructType([docs.schema["id"], T.StructField("packed", T.BinaryType())])))
+    bits.destroy()
+    return made
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,14 +270,16 @@ def near_duplicates(
     links = durable(confirmed(first, sets, percent))
     joined = durable(components(links))
     more = apart(found.select("a", "b").join(first, ["a", "b"], "left_anti"), joined)
+    links = durable(links.unionByName(confirmed(more, sets, percent)))
 
-    # Crowded regions, where neighbours in order are but a part of the candidates, are joined exactly.
+    # Crowded regions, where neighbours in order are but a part of the candidates, are joined exactly, as far as
+    # the links of all neighbours have left them apart.
     if not crowd.isEmpty():
+        joined = durable(components(links))
         placed = durable(
             crowd.join(joined.withColumnRenamed("node", "id"), "id", "left").join(sets, "id")
             .select("id", F.coalesce("root", "id").alias("root"), "packed"))
-        more = durable(more.unionByName(crowds.pairs(placed, percent).join(first, ["a", "b"], "left_anti")).distinct())
-    links = links.unionByName(confirmed(more, sets, percent))
+        links = links.unionByName(confirmed(crowds.pairs(placed, percent).distinct(), sets, percent))
 
     # Rows with one id but different sets tie these sets together.
     twice = member.groupBy("id").agg(F.min("head").alias("b"), F.max("head").alias("c")).filter("b <> c").select("id", "b")
