@@ -59,12 +59,13 @@ WITH {ARRIVALS}, w AS (SELECT event_type, ts, units, mark, unnest(range(0, epoch
 x AS (SELECT event_type, units, mark, make_timestamp(epoch_us(ts) - epoch_us(ts) % epoch_us({step}) - back) AS s FROM w),
 y AS (SELECT *, s + {size} AS e, mark IS NOT NULL AND s + {size} <= mark AS late FROM x)
 SELECT event_type, strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(e, '%Y-%m-%d %H:%M:%S') AS window_end,
-  count(*) FILTER (NOT late) AS n, CAST(sum(units) FILTER (NOT late) AS BIGINT) AS units, count(*) FILTER (late) AS late
+  count(*) FILTER (NOT late) AS n, CAST(coalesce(sum(units) FILTER (NOT late), 0) AS BIGINT) AS units, count(*) FILTER (late) AS late
 FROM y, f WHERE e <= sealed GROUP BY event_type, s, e
 """
 
 
 def _shown(df):
+    df = df.withColumn("units", F.coalesce("units", F.lit(0)))
     for c in ("window_start", "window_end"):
         df = df.withColumn(c, F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
     return df
