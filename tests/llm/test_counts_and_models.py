@@ -255,3 +255,13 @@ def test_language_model_without_training_rows(frame):
     df = frame([(1, "a b"), (2, None)]).selectExpr("*", "true as fold")
     got = {r.doc_id: r for r in logbilinear.scores(df, "fold").collect()}
     assert got[1].n_tokens == 3 and got[1].n_known == 0 and got[1].train_tokens == 0 and got[1].base_score == 0
+
+
+def test_language_model_learns_from_every_document(frame, monkeypatch):
+    """One pass over many documents, each with a pattern of its own; no sample of them is enough."""
+    monkeypatch.setattr(logbilinear, "VISITS", 1, raising=False)
+    monkeypatch.setattr(logbilinear, "SAMPLE_DOCS", 2, raising=False)
+    rows = [(k, " ".join([f"w{k % 40}a w{k % 40}b w{k % 40}c"] * 30)) for k in range(2000)]
+    df = frame(rows).selectExpr("*", "doc_id < 40 as fold")
+    told = [r for r in logbilinear.scores(df, "fold").collect() if r.held_out]
+    assert len(told) == 40 and all(r.score > 0.6 * r.base_score for r in told)
