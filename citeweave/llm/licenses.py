@@ -6,6 +6,7 @@ query runs: on variants of the templates below (parts and thinned copies) and on
 bounded, hash-chosen sample of the corpus's own paragraphs as ordinary text. Its
 threshold for "unknown" is calibrated on variants that were not trained on, and a
 family counts only if the paragraph also has the words of one of its templates.
+Every paragraph is put to the classifier, as a whole and sentence by sentence.
 
 Everything is DataFrame and JVM-side machine-learning operations.
 """
@@ -58,11 +59,11 @@ TEMPLATES = (
     (NONE, "She asked for permission to leave early because the last train goes at nine."),
     (NONE, "Some people take poetic license with the facts when they tell old stories."),
 )
-#: Only paragraphs with one of these words are put to the classifier; others are ordinary text.
+#: Words of licence terms: what the classifier is less sure of than the threshold is "unknown" only with one of them.
 CUE = (r"(?i)licen[sc]e|copyright|rights reserved|permission|warrant(?:y|ies)|redistribut|public domain|spdx|\bgpl\b|"
        r"creative commons|\bcc[ -]by\b|\bcc0\b")
-#: A paragraph of more characters is judged sentence by sentence.
-LONG = 1500
+#: Between sentences.
+STOP = r"(?<=[.!?])\s+"
 #: Words: letters and digits with inner dots and hyphens, in lower case.
 WORDS = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FEATURES = 1 << 13
@@ -82,12 +83,14 @@ def grams(w: str) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """The paragraphs of a text that hold a cue, with their number; null text has none."""
-    parts = F.flatten(F.transform(F.split(text, "\n", -1), lambda p: F.when(
-        F.length(p) > LONG, F.split(p, r"(?<=[.!?])\s+", -1)).otherwise(F.array(p))))
-    numbered = F.transform(parts, lambda p, i: F.struct(i.alias("nth"), p.alias("text")))
-    empty = F.array().cast("array<struct<nth:int,text:string>>")
-    return F.when(text.rlike(CUE), F.filter(numbered, lambda x: x["text"].rlike(CUE))).otherwise(empty)
+    """The paragraphs of a text with their number; null text has none."""
+    return F.transform(F.split(text, "\n", -1), lambda p, i: F.struct(i.alias("nth"), p.alias("text")))
+
+
+def sentences(paragraph: Column) -> Column:
+    """What is judged of a paragraph: all of it, and each of its sentences if there are more."""
+    parts = F.split(paragraph, STOP, -1)
+    return F.when(F.size(parts) > 1, F.concat(F.array(paragraph), parts)).otherwise(F.array(paragraph))
 
 
 def variants(spark: SparkSession) -> DataFrame:
@@ -152,8 +155,9 @@ def judge(units: DataFrame, model: LogisticRegressionModel, labels: list[str], l
 
     told = told.join(F.broadcast(families), "told", "left")
     confirmed = F.coalesce(F.exists("wordings", fits), F.lit(False))
+    sure = F.col("p") >= level
     return told.withColumn(
-        "license", F.when(F.col("told") == NONE, NONE).when((F.col("p") >= level) & confirmed, F.col("told")).otherwise(UNKNOWN))
+        "license", F.when((F.col("told") == NONE) | ~(sure | F.col("text").rlike(CUE)), NONE).when(sure & confirmed, F.col("told")).otherwise(UNKNOWN))
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,26 +166,25 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     ``licenses`` lists the families found, sorted and comma-joined; ``n_licensed`` and
     ``n_unknown`` count paragraphs with a confirmed family and with other licence
     terms; ``confidence`` is the least probability among the confirmed (null without).
-    Paragraphs end at a line feed; one of more than ``LONG`` characters is judged
-    sentence by sentence.
+    Paragraphs end at a line feed; each is judged as a whole and sentence by sentence,
+    and has the families and other terms that any of these judgements finds.
 
     A null or empty text has no paragraph. Repeated rows get equal results; a null id
     passes through; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
     model, labels, level = train(rows.select("row", "text"))
-    held = durable(rows.select("doc_id", "row", paragraphs(F.col("text")).alias("parts")))
-    # Each different paragraph is judged once, however many documents have it.
-    units = held.select(F.explode("parts.text").alias("text")).distinct()
-    told = judge(units, model, labels, level).select("text", "license", "p").filter(F.col("license") != NONE)
-    salts = 16
-    mine = held.select("row", F.explode("parts").alias("x")).select(
-        "row", "x.nth", "x.text", F.pmod("row", F.lit(salts)).cast("int").alias("salt")).distinct()
-    told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Texts are judged where they are read; only what holds licence terms moves on.
+    units = rows.select("row", F.explode(paragraphs(F.col("text"))).alias("x")).select(
+        "row", "x.nth", F.explode(sentences(F.col("x.text"))).alias("text")).filter(F.lower("text").rlike(WORDS))
+    told = durable(judge(units, model, labels, level).filter(F.col("license") != NONE).select("row", "nth", "license", "p"))
     good = F.col("license") != UNKNOWN
-    per_row = mine.join(told, ["text", "salt"]).groupBy("row").agg(
-        F.sort_array(F.collect_set(F.when(good, F.col("license")))).alias("found"), F.count(F.when(good, 1)).alias("n_licensed"),
-        F.count(F.when(~good, 1)).alias("n_unknown"), F.min(F.when(good, F.col("p"))).alias("confidence"))
-    return held.select("doc_id", "row").join(per_row, "row", "left").select(
+    per_paragraph = told.groupBy("row", "nth").agg(
+        F.collect_set(F.when(good, F.col("license"))).alias("found"), F.max(F.when(good, F.col("p"))).alias("p"))
+    known = F.size("found") > 0
+    per_row = per_paragraph.groupBy("row").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"), F.count(F.when(known, 1)).alias("n_licensed"),
+        F.count(F.when(~known, 1)).alias("n_unknown"), F.min("p").alias("confidence"))
+    return rows.select("doc_id", "row").join(per_row, "row", "left").select(
         "doc_id", F.coalesce(F.array_join("found", ","), F.lit("")).alias("licenses"), F.coalesce("n_licensed", F.lit(0)).cast("long").alias("n_licensed"),
         F.coalesce("n_unknown", F.lit(0)).cast("long").alias("n_unknown"), "confidence")

@@ -346,6 +346,18 @@ def test_licences(frame, sample):
     assert licenses.scan(frame(rows).limit(0)).collect() == []
 
 
+def test_licences_in_paragraphs_of_any_length(frame, sample):
+    """A licence sentence amid ordinary ones is found whatever the length of the paragraph; so are terms without a licence word."""
+    plain = " ".join("\n".join(t for _, t, *_ in sample if t).split())
+    rows = [(k, plain[:n].rsplit(" ", 1)[0] + ". Released under the MIT License. " + plain[n:2 * n]) for k, n in enumerate((100, 200, 400, 700, 900))]
+    lacking = "To any person obtaining a copy of this software and associated documentation files, to deal in the Software without " \
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, and/or sell copies of the Software"
+    assert not re.search(licenses.CUE, lacking)
+    got = {r.doc_id: r for r in licenses.scan(frame([r[:2] for r in sample] + [(7000 + k, t) for k, t in rows] + [(7100, lacking)])).collect()}
+    assert {got[7000 + k].licenses for k, _ in rows} == {"MIT"} and {got[7000 + k].n_licensed for k, _ in rows} == {1}
+    assert got[7100].licenses == "MIT"
+
+
 def test_native_plans_have_no_python(spark, frame):
     from tests.llm.test_counts_and_models import QUERIES
 
