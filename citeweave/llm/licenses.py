@@ -13,6 +13,7 @@ Everything is DataFrame and JVM-side machine-learning operations.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -111,6 +112,12 @@ def thinned(k: int) -> Column:
     return F.filter("w", lambda x, i: (i % 7) != k)
 
 
+def wording(w: str) -> Column:
+    """Whether the words are, to four in five, those of a template: no example of ordinary text, even without a cue."""
+    lists = F.array(*[F.array(*map(F.lit, dict.fromkeys(re.findall(WORDS, t.lower())))) for label, t in TEMPLATES if label != NONE])
+    return F.exists(lists, lambda own: F.size(F.array_intersect(w, own)) >= F.greatest(F.lit(8.0), 0.8 * F.size(F.array_distinct(w))))
+
+
 def train(docs: DataFrame) -> tuple[LogisticRegressionModel, list[str], float]:
     """The model, its labels by index, and the calibrated threshold, from documents (row, text).
 
@@ -123,7 +130,7 @@ def train(docs: DataFrame) -> tuple[LogisticRegressionModel, list[str], float]:
     ordinary = (
         docs.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < share)
         .select(F.explode(F.split("text", "\n", -1)).alias("p")).filter(~F.col("p").rlike(CUE))
-        .select(F.lit(NONE).alias("label"), words(F.col("p")).alias("w"), F.lit(0).alias("part")).filter(F.size("w") > 2))
+        .select(F.lit(NONE).alias("label"), words(F.col("p")).alias("w"), F.lit(0).alias("part")).filter((F.size("w") > 2) & ~wording("w")))
     labels = sorted({label for label, _ in TEMPLATES})
     number = reduce(lambda other, i: F.when(F.col("label") == labels[i], float(i)).otherwise(other), range(len(labels)), F.lit(None).cast("double"))
     hashed = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
