@@ -242,3 +242,42 @@ def test_titles_and_summaries(spark):
     out = {r.id: r.x for r in df.select("id", chunks.title(F.col("t")).alias("x")).collect()}
     assert out == {1: "A long enough title for this fine paper", 2: "", 3: ""}
     assert {r.id: r.summary for r in chunks.summarise(df, "id", "t").collect()}[2] == "tiny text"
+
+
+def test_topk_by_blocks_is_that_of_all_pairs(spark, monkeypatch):
+    from citeweave.operators import sparse
+
+    monkeypatch.setattr(sparse, "BLOCK", 40)
+    words = ["ant", "bee", "cat", "dog", "elk", "fox", "gnu"]
+    docs = [(i, " ".join(words[j] for j in range(7) if (i * 37 + j * 11) % 5 < 2)) for i in range(60)]
+    asks = [(i, " ".join(words[j] for j in range(7) if (i * 13 + j * 7) % 3 == 0)) for i in range(30)]
+    qt = spark.createDataFrame([(q, w, 1.0 + w.count("e")) for q, t in asks for w in t.split()], "q long, term string, qw double")
+    held = spark.createDataFrame([(d, w, 0.5 + d % 3) for d, t in docs for w in t.split()], "d long, term string, w double")
+    qt = qt.join(held.groupBy("term").count().withColumnRenamed("count", "df"), "term")
+    want = {}
+    for q, t in asks:
+        sums = {d: sum((1.0 + w.count("e")) * (0.5 + d % 3) for w in t.split() if w in text.split()) for d, text in docs}
+        hit = sorted(((-s, d) for d, s in sums.items() if s), key=lambda x: (round(x[0], 9), x[1]))[:4]
+        want[q] = [(d, round(-s, 9)) for s, d in hit]
+    got = {}
+    for r in sparse.block_topk(qt, held, "q", "d", 4).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append((r["d"], round(r["score"], 9)))
+    assert got == {q: rows for q, rows in want.items() if rows}
+
+
+def test_equal_claims_are_looked_up_once(spark, monkeypatch):
+    from citeweave.operators import anchoring, sparse
+
+    asked = []
+    plain = sparse.topk
+
+    def counted(docs, doc_id, body, queries, *rest, **more):
+        asked.append(queries.count())
+        return plain(docs, doc_id, body, queries, *rest, **more)
+
+    monkeypatch.setattr(sparse, "topk", counted)
+    claims = spark.createDataFrame([("a", "red cells grow"), ("b", "red cells grow"), ("c", "blue rain falls"), ("d", None)], "cid string, c string")
+    proof = spark.createDataFrame([(1, "red cells grow fast"), (2, "green rain falls"), (3, "nothing here")], "sid long, s string")
+    got = {r["cid"]: (round(r["similarity"], 6), r["best_sentence"]) for r in anchoring.best_evidence(claims, "cid", "c", proof, "sid", "s").collect()}
+    assert asked == [2]
+    assert got["a"] == got["b"] and got["a"][1] == "red cells grow fast" and got["c"][1] == "green rain falls" and got["d"] == (0.0, "")
