@@ -115,3 +115,20 @@ def test_repair_of_every_cut():
         assert n < len(whole) or made == json.loads(whole)
         if n > 40:
             assert made["name"] == 'a "b" {c}'
+
+
+def test_vectors_meet_by_shelves(spark, tmp_path, monkeypatch):
+    """Shelves of few vectors, parts larger than a shelf and several sides of probes lose nothing."""
+    from citeweave.operators import vector_index as V
+
+    monkeypatch.setattr(V, "SHELF", 16)
+    monkeypatch.setattr(V, "SIDE", 20)
+    monkeypatch.setattr(V, "SLICE", 7)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 4)), np.repeat(rng.normal(size=(1, 4)), 40, axis=0)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    index = V.VectorIndex.build(rows, "i", "v", f"{tmp_path}/shelves", pivots=3)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    near = {(r["probe"], r["item"]): r["rank"] for r in index.nearest(rows, "i", "v", 5).collect()}
+    assert near == {(p, i): n + 1 for p in range(100) for n, i in enumerate(sorted(range(100), key=lambda i: (round(d[p, i], 9), i))[:5])}
+    assert {(r["probe"], r["item"]) for r in index.within(rows, "i", "v", 1.2).collect()} == {(p, i) for p, i in zip(*np.nonzero(d <= 1.2))}
