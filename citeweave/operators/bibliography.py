@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from citeweave.functions import text as T
+from citeweave.session import durable
 
 TITLE_MIN = 0.6
 BATCH_BYTES = 32 << 20
@@ -43,7 +45,7 @@ def title_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str
         w = F.array_distinct(T.words(T.match_key(F.col("title"))))
         return df.select(key, F.array_sort(w).alias("w")).filter(F.size("w") > 0)
 
-    a, b = sets(left, left_id), sets(right, right_id)
+    a, b = durable(sets(left, left_id)), durable(sets(right, right_id))
     da = a.select("w").distinct().withColumn("lk", F.xxhash64("w"))
     db = b.select("w").distinct().withColumn("rk", F.xxhash64("w"))
     freq = da.select(F.explode("w").alias("t")).unionByName(db.select(F.explode("w").alias("t"))) \
@@ -68,11 +70,63 @@ def title_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     )
 
 
-def _ratio(a: str, b: str) -> float:
-    """Larger of character-level similarity and word Jaccard."""
-    wa, wb = set(a.split()), set(b.split())
-    word = len(wa & wb) / len(wa | wb) if wa and wb else 0.0
-    return max(SequenceMatcher(None, a, b).ratio(), word)
+class _Pool:
+    """Titles side by side, so that one title meets all of them at once; the best is confirmed in full.
+
+    A title's common characters in order are counted bit by bit for all titles together: each
+    holds as many bits of one long integer as it has characters, and a spare one that takes
+    its carry. No full comparison can find more of them than there are.
+    """
+
+    def __init__(self, ids: list, titles: list[str]) -> None:
+        self.ids, self.titles = ids, titles
+        self.lengths = np.asarray([len(t) for t in titles], dtype=np.int64)
+        self.owners: dict[str, list[int]] = {}
+        sets = [set(t.split()) for t in titles]
+        for i, own in enumerate(sets):
+            for w in own:
+                self.owners.setdefault(w, []).append(i)
+        self.sizes = np.asarray([len(own) for own in sets], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths + 1) - (self.lengths + 1)
+        row = np.frombuffer("\0".join([*titles, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        bits = lambda flags: int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+        self.full = bits(row != 0)
+        self.places = {chr(c): bits(row == c) for c in np.unique(row[row != 0])}
+
+    def in_order(self, title: str) -> np.ndarray:
+        """Length of the longest common subsequence with each title."""
+        free = self.full
+        for c in title:
+            met = free & self.places.get(c, 0)
+            if met:
+                free = ((free + met) | (free - met)) & self.full
+        size = int(self.lengths.sum()) + len(self.lengths)
+        left = np.unpackbits(np.frombuffer(free.to_bytes(-(-size // 8), "little"), dtype=np.uint8), bitorder="little")
+        return self.lengths - np.add.reduceat(left.astype(np.int64), self.starts)
+
+    def best(self, title: str, minimum: float) -> tuple | None:
+        """Id and similarity of the first title with the largest similarity, if that is large enough."""
+        words = set(title.split())
+        common = np.zeros(len(self.ids), dtype=np.int64)
+        for w in words:
+            common[self.owners.get(w, [])] += 1
+        word = common / (len(words) + self.sizes - common)
+        both = len(title) + self.lengths
+        least = minimum - 1e-12
+        most = np.maximum(word, 2.0 * np.minimum(len(title), self.lengths) / both)
+        if not (most > least).any():
+            return None
+        if (most > word).any():
+            most = np.maximum(word, 2.0 * self.in_order(title) / both)
+        best, who = least, len(self.ids)
+        at = np.flatnonzero(most > least)
+        for i in at[np.argsort(-most[at], kind="stable")].tolist():
+            if most[i] < best:
+                break
+            score = max(float(word[i]), SequenceMatcher(None, title, self.titles[i]).ratio())
+            if score > best or (score == best and i < who and who < len(self.ids)):
+                best, who = score, i
+        return None if who == len(self.ids) else (self.ids[who], best)
 
 
 def best_title(left: DataFrame, results: DataFrame, left_id: str, right_id: str, minimum: float = TITLE_MIN) -> DataFrame:
@@ -80,7 +134,7 @@ def best_title(left: DataFrame, results: DataFrame, left_id: str, right_id: str,
 
     ``results`` is one provider's answer list. Its size is checked; a longer list is
     worked off in bounded slices whose winners are compared afterwards. Within a task,
-    cheap upper bounds spare most character-level comparisons.
+    upper bounds for all results at once spare nearly all character-level comparisons.
     """
     right = results.select(right_id, T.match_key(F.col("title")).alias("t")).filter("t <> ''")
     size = right.agg(F.sum(F.length("t") + 64).alias("b")).first()["b"] or 0
@@ -89,29 +143,21 @@ def best_title(left: DataFrame, results: DataFrame, left_id: str, right_id: str,
     out = None
     for i in range(slices):
         rows = right.filter(F.pmod(F.xxhash64(right_id), F.lit(slices)) == i).orderBy(right_id).collect()
-        pool = [(r[0], r[1]) for r in rows]
+        if not rows:
+            continue
+        sent = left.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
 
-        def run(batches: Iterator[pd.DataFrame], pool=pool) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            pool = _Pool(*sent.value)
             for pdf in batches:
-                found = []
-                for key, title in zip(pdf[left_id], pdf["t"]):
-                    best, who = minimum - 1e-12, None
-                    match = SequenceMatcher(None, "", "")
-                    wa = set(title.split())
-                    for rid, other in pool:
-                        wb = set(other.split())
-                        word = len(wa & wb) / len(wa | wb)
-                        match.set_seqs(title, other)
-                        if max(word, match.real_quick_ratio()) > best and max(word, match.quick_ratio()) > best:
-                            score = max(word, match.ratio())
-                            if score > best:
-                                best, who = score, rid
-                    if who is not None:
-                        found.append((key, who, best))
+                known = {title: pool.best(title, minimum) for title in pdf["t"].unique()}
+                found = [(key, *known[title]) for key, title in zip(pdf[left_id], pdf["t"]) if known[title]]
                 yield pd.DataFrame(found, columns=[left_id, right_id, "similarity"])
 
         part = left.select(left_id, T.match_key(F.col("title")).alias("t")).filter("t <> ''").mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return left.sparkSession.createDataFrame([], schema)
     return out.groupBy(left_id).agg(F.max_by(F.struct(right_id, "similarity"), F.col("similarity")).alias("b")) \
         .select(left_id, f"b.{right_id}", "b.similarity")
 

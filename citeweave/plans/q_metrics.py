@@ -290,8 +290,8 @@ def title_jaccard_match(spark, base):
 def bibliographic_coverage(spark, base):
     """Documents matched to questions by DOI, cleaned DOI or fuzzy title."""
     doi = F.concat(F.lit("10.5555/"), T.short_digest(F.col("text")))
-    left = table(spark, base, "documents", spread="doc_id").select(
+    left = durable(table(spark, base, "documents", spread="doc_id").select(
         "doc_id", _title().alias("title"),
-        F.when(F.col("lang") == "en", F.concat(F.lit("https://doi.org/"), doi)).otherwise(doi).alias("doi"))
+        F.when(F.col("lang") == "en", F.concat(F.lit("https://doi.org/"), doi)).otherwise(doi).alias("doi")))
     right = table(spark, base, "benchmark").select("item_id", _title().alias("title"), doi.alias("doi"))
     return bib.coverage(bib.match(left, right, "doc_id", "item_id"), left, "doc_id")

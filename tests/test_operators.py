@@ -222,6 +222,29 @@ def test_best_title_equals_full_comparison(spark, monkeypatch):
     assert {k: round(v, 9) for k, v in out.items()} == {k: round(v, 9) for k, v in want.items() if v >= 0.6}
 
 
+def test_best_title_compares_few_pairs_in_full(monkeypatch):
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("abcde ") for _ in range(n)).strip() or "a"
+    pool = [text(rnd.randrange(1, 90)) for _ in range(60)]
+    pool[7] = pool[3]
+    titles = [pool[3], pool[9][:-2] + "zz", pool[20][:25], "qqq zzz", "x" * 500, *[text(rnd.randrange(1, 90)) for _ in range(40)]]
+    full, made = SequenceMatcher(None, "", "").__class__, []
+    monkeypatch.setattr(bibliography, "SequenceMatcher", lambda *a: made.append(a) or full(*a))
+    own = bibliography._Pool(list(range(60)), pool)
+
+    def want(t, least):
+        wt = set(t.split())
+        scores = [max(full(None, t, o).ratio(), len(wt & set(o.split())) / len(wt | set(o.split()))) for o in pool]
+        return (scores.index(max(scores)), max(scores)) if max(scores) >= least else None
+
+    for least in (0.4, 0.6, 0.9):
+        assert [own.best(t, least) for t in titles] == [want(t, least) for t in titles]
+    made.clear()
+    for t in titles:
+        own.best(t, 0.9)
+    assert len(made) < len(titles)
+
+
 def test_doi_cascade(spark):
     left = spark.createDataFrame([(1, "10.1/A", "t"), (2, "https://doi.org/10.1/b", "u"), (3, "", "Growth of bone on titanium"), (4, "", "zzz")], "l long, doi string, title string")
     right = spark.createDataFrame([(7, "10.1/a", "x"), (8, "10.1/b", "y"), (9, "", "growth of bone on Titanium!")], "r long, doi string, title string")
