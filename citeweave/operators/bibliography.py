@@ -46,22 +46,25 @@ def title_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str
         return df.select(key, F.array_sort(w).alias("w")).filter(F.size("w") > 0)
 
     a, b = durable(sets(left, left_id)), durable(sets(right, right_id))
-    da = a.select("w").distinct().withColumn("lk", F.xxhash64("w"))
-    db = b.select("w").distinct().withColumn("rk", F.xxhash64("w"))
-    freq = da.select(F.explode("w").alias("t")).unionByName(db.select(F.explode("w").alias("t"))) \
+    # Each distinct set is written down with a number, which stands for it wherever words meet.
+    number = F.monotonically_increasing_id()
+    da = durable(a.select("w").distinct().select(number.alias("ka"), F.col("w").alias("wa")))
+    db = durable(b.select("w").distinct().select(number.alias("kb"), F.col("w").alias("wb")))
+    freq = da.select(F.explode("wa").alias("t")).unionByName(db.select(F.explode("wb").alias("t"))) \
         .groupBy("t").agg(F.count(F.lit(1)).alias("df"))
 
-    def prefixes(d: DataFrame, key: str) -> DataFrame:
-        ranked = d.select("w", F.explode("w").alias("t")).join(freq, "t").groupBy("w").agg(
+    def prefixes(d: DataFrame, key: str, words: str, size: str) -> DataFrame:
+        ranked = d.select(key, F.explode(words).alias("t")).join(freq, "t").groupBy(key).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda s: s["t"]).alias("o"))
         n = F.size("o")
         head = n - F.ceil(F.lit(minimum) * n - 1e-9).cast("int") + 1
-        return ranked.select(F.col("w").alias(key), F.explode(F.slice("o", F.lit(1), head)).alias("t"))
+        return ranked.select(key, n.alias(size), F.explode(F.slice("o", F.lit(1), head)).alias("t"))
 
-    pa, pb = prefixes(da, "wa"), prefixes(db, "wb")
-    ratio = F.least(F.size("wa"), F.size("wb")) / F.greatest(F.size("wa"), F.size("wb"))
+    pa, pb = prefixes(da, "ka", "wa", "na"), prefixes(db, "kb", "wb", "nb")
+    ratio = F.least("na", "nb") / F.greatest("na", "nb")
     hits = (
-        pa.join(pb, "t").filter(ratio >= minimum - 1e-9).select("wa", "wb").distinct()
+        pa.join(pb, "t").filter(ratio >= minimum - 1e-9).select("ka", "kb").distinct()
+        .join(da, "ka").join(db, "kb").select("wa", "wb")
         .withColumn("jaccard", T.jaccard(F.col("wa"), F.col("wb"))).filter(F.col("jaccard") >= minimum)
     )
     return (

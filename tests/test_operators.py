@@ -245,6 +245,18 @@ def test_best_title_compares_few_pairs_in_full(monkeypatch):
     assert len(made) < len(titles)
 
 
+def test_title_sets_are_not_carried_by_their_words(spark):
+    """Equal titles, one-word titles and titles without words; no word brings a whole set along."""
+    left = [(1, "Red bone heals"), (2, "heals bone red red"), (3, "!!"), (4, "solo"), (5, None), (6, "red bone heals slowly now")]
+    right = [(1, "bone heals red"), (2, "solo"), (2, "Solo!"), (3, "other words here")]
+    out = bibliography.title_jaccard(
+        spark.createDataFrame(left, "l long, title string"), spark.createDataFrame(right, "r long, title string"), "l", "r")
+    assert sorted((r.l, r.r, r.jaccard) for r in out.collect()) == [
+        (1, 1, 1.0), (2, 1, 1.0), (4, 2, 1.0), (4, 2, 1.0), (6, 1, 0.6)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(ka#" in plan and "(kb#" in plan
+
+
 def test_doi_cascade(spark):
     left = spark.createDataFrame([(1, "10.1/A", "t"), (2, "https://doi.org/10.1/b", "u"), (3, "", "Growth of bone on titanium"), (4, "", "zzz")], "l long, doi string, title string")
     right = spark.createDataFrame([(7, "10.1/a", "x"), (8, "10.1/b", "y"), (9, "", "growth of bone on Titanium!")], "r long, doi string, title string")
