@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from citeweave.functions import text as T
 from citeweave.operators import blocked
+from citeweave.session import durable
 
 # Limits of the degradation checks.
 SPAM_MIN_CHARS, SPAM_RUN, SPAM_TOKEN_CHARS = 15, 3, 20
@@ -53,7 +54,15 @@ def _run_of_equal(items: Column, length: int) -> Column:
 
 
 def spam(value: Column, words_run: int = SPAM_RUN, hyphen_run: int = SPAM_RUN) -> Column:
-    """Token-level repetition: equal neighbouring words, or equal parts of a long hyphenated one."""
+    """Token-level repetition: equal neighbouring words, or equal parts of a long hyphenated one.
+
+    Words are cut out only where one pattern over the whole value sees a repetition, or a word
+    that is long enough, at all; a value with other than ASCII characters is always cut.
+    """
+    again = r"(?:^|\s)(\S*?)[:,;.]*" + r"\s+\1[:,;.]*" * (words_run - 1) + r"(?=\s|$)"
+    suspect = (
+        (F.length(value) != F.octet_length(value)) | F.lower(F.trim(value)).rlike(again)
+        | (F.contains(value, F.lit("-")) & value.rlike(rf"\S{{{SPAM_TOKEN_CHARS + 1}}}")))
     words = F.split(F.trim(value), r"\s+")
     plain = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[:,;.]+$", ""))
     chains = F.filter(words, lambda w: F.contains(w, F.lit("-")) & (F.length(w) > SPAM_TOKEN_CHARS))
@@ -62,7 +71,8 @@ def spam(value: Column, words_run: int = SPAM_RUN, hyphen_run: int = SPAM_RUN) -
         parts = F.filter(F.transform(F.split(F.lower(token), "-"), F.trim), lambda p: p != "")
         return _run_of_equal(parts, hyphen_run)
 
-    return (F.length(value) >= SPAM_MIN_CHARS) & (_run_of_equal(plain, words_run) | F.exists(chains, looping))
+    found = F.when(suspect, _run_of_equal(plain, words_run) | F.exists(chains, looping)).otherwise(False)
+    return (F.length(value) >= SPAM_MIN_CHARS) & found
 
 
 @F.pandas_udf(DoubleType())
@@ -123,7 +133,7 @@ def parse(outputs: DataFrame, key: str, text: str) -> DataFrame:
     field = F.lower(T.strip(F.substring_index("s", ":", 1)))
     value = T.strip(F.expr("substring(s, instr(s, ':') + 1)"))
     ln = ln.select(
-        key, "n", "s",
+        key, "n", F.when(~has_colon & (F.col("s") != ""), F.col("s")).alias("s"),
         F.when(has_colon, field).alias("k"), F.when(has_colon, value).alias("v"),
         F.when(F.col("s") == "", "blank").when(~has_colon, "junk")
         .when(field.isin("evidence", "source", "type"), "shared")
@@ -134,14 +144,18 @@ def parse(outputs: DataFrame, key: str, text: str) -> DataFrame:
     for name in ("evidence", "source", "type"):
         ln = ln.withColumn(f"g_{name}", F.last(F.when(F.col("k") == name, F.col("v")), ignorenulls=True).over(upto))
     ln = ln.withColumn("seg", F.sum(border.cast("int")).over(upto)) \
+        .withColumn("opener", F.last(F.when(border, F.col("kind")), ignorenulls=True).over(upto)) \
         .withColumn("formed", F.sum(has_colon.cast("int")).over(upto))
     streak = Window.partitionBy(key, "formed").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     junk = F.col("kind") == "junk"
-    ln = ln.withColumn("streak", F.sum(junk.cast("int")).over(streak))
+    # Lines and filed blocks are both read more than once below; a line keeps what its kind is asked for.
+    ln = durable(
+        ln.withColumn("streak", F.sum(junk.cast("int")).over(streak)).filter(junk | (F.col("opener") == "open") | (F.col("kind") == "piped"))
+        .drop("formed"))
 
     shared = [F.col(f"g_{x}") for x in ("evidence", "source", "type")]
     # Blocks opened by a plain entity line: attributes up to the border, filed at the next one.
-    seg = ln.groupBy(key, "seg").agg(
+    seg = ln.filter("opener = 'open'").groupBy(key, "seg").agg(
         F.max("n").alias("last"),
         F.max(F.when(F.col("kind") == "open", F.col("v"))).alias("entity"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "attr", F.struct("n", "k", "v")))).alias("a"),
@@ -170,7 +184,9 @@ def parse(outputs: DataFrame, key: str, text: str) -> DataFrame:
     fields = F.concat(
         F.array("entity", "evidence", "source", "type"), F.transform("pairs", lambda p: p["v"]))
     filed = filed.withColumn("whole", same).withColumn("again", F.lag("whole").over(order).eqNullSafe(F.col("whole"))) \
-        .withColumn("bad", F.exists(fields, lambda f: F.coalesce(spam(f), F.lit(False))) | F.col("again"))
+        .withColumn("bad", F.exists(fields, lambda f: F.coalesce(spam(f), F.lit(False))) | F.col("again")) \
+        .drop("whole", "again")
+    filed = durable(filed)
     stops = filed.filter("bad").select(key, F.struct("at", "sub").alias("stop")).unionByName(
         ln.filter(junk & (spam(F.col("s")) | (F.col("streak") >= JUNK_LIMIT)))
         .select(key, F.struct(F.col("n").alias("at"), F.lit(0).alias("sub")).alias("stop")))

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
@@ -172,6 +173,30 @@ def test_line_tagged_output(spark):
     assert out[2][1][1] == "Mg" and [e[1] for e in out[3]] == ["a"] and [e[1] for e in out[4]] == ["a"] and 5 not in out
 
 
+def test_token_spam_by_words(spark):
+    rnd = random.Random(3)
+    parts = ["ab", "AB", "ab,", "ab.", "x", ",", ".", " ", "\n", "\t", "na-na-na-na-na-na-na-na", "ab-cd-ef-gh-ij-kl-mn-op", "\u00c9a", "\u00e9a", "word"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", "  ", "\n"]) for _ in range(rnd.randrange(1, 14))) for _ in range(400)]
+
+    def run(items, n):
+        return any(items[i:i + n] == [items[i]] * n for i in range(len(items) - n + 1))
+
+    def want(t):
+        words = re.split(r"[ \t\n\x0b\f\r]+", t.strip(" "))
+        chains = [[p.strip(" ") for p in w.lower().split("-") if p.strip(" ")] for w in words if "-" in w and len(w) > 20]
+        return len(t) >= 15 and (run([re.sub("[:,;.]+$", "", w.lower()) for w in words], 3) or any(run(c, 3) for c in chains))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", entities.spam(F.col("t")).alias("s"))
+    assert {r.id: r.s for r in df.collect()} == {i: want(t) for i, t in enumerate(texts)}
+
+
+def test_parse_cuts_lines_once(spark):
+    df = spark.createDataFrame([(1, "EVIDENCE: e\nSOURCE: s\nTYPE: t\nENTITY: One\nENTITY: Two | CLAIM: up")], "id long, t string")
+    out = entities.parse(df, "id", "t")
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.ord, r.entity, r.attrs) for r in out.orderBy("ord").collect()] == [(1, "One", {}), (2, "Two", {"claim": "up"})]
+
+
 def test_degraded_outputs(spark):
     df = spark.createDataFrame([(1, "line: x\n" + "same line again\n" * 80), (2, "ENTITY: fine | CLAIM: also fine")], "id long, t string")
     assert [r.id for r in entities.stream_degraded(df, "t").filter("degraded").collect()] == [1]
