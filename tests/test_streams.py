@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from citeweave.operators import temporal
@@ -121,6 +122,23 @@ def test_supervisor_waits_for_its_turn(spark, tmp_path):
     assert {r["stopped_at"] for r in out.collect() if r["stream_id"] == "bad"} - {None} == {stopped}
 
 
+def test_output_keeps_a_sign_of_its_line():
+    for text, sign in (("a word " * 500, "x"), ("  \n   ", ""), ("\nname: " + "value " * 500, ":"), ("a: b\nword", "x")):
+        out = supervision.Output()
+        for i in range(0, len(text), 7):
+            out.add(text[i:i + 7])
+        assert out.line == sign
+
+
+def test_tokens_travel_packed():
+    ids, seqs = ["a", "a", "b", None, "a"], [0, 4, 1, 2, None]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(ids), pa.array(seqs, pa.int64()), pa.array(["x", "", "\u00fc y", "z", None])], ["stream_id", "seq", "token"])
+    rows = [r for b in supervision._pack(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert [(r["stream_id"], list(supervision._unpacked(r["seqs"], r["sizes"], r["tokens"]))) for r in rows] == [
+        ("a", [(0, "x"), (4, "")]), ("b", [(1, "\u00fc y")]), (None, [(2, "z")]), ("a", [(-1, "")])]
+
+
 def test_calibration_state_survives_restarts(spark, tmp_path):
     supervision.state_store(spark)
     rng = random.Random(9)
