@@ -204,25 +204,24 @@ def _local_moves(links: DataFrame, two_m: float, max_sweeps: int) -> tuple[DataF
     idle = 0
     for sweep in range(max_sweeps):
         total = state.groupBy("cid").agg(F.sum("k").alias("tot"))
+        placed = durable(state.join(total, "cid").withColumn("turn", F.pmod(F.xxhash64("node", F.lit(sweep // 2)), F.lit(2)) == sweep % 2))
+        mine = placed.filter("turn").select("node", "k", F.col("cid").alias("old"))
+        # Only nodes whose turn it is are scored; a neighbour brings the total of its community along.
+        waits = F.pmod(F.xxhash64("src", F.lit(sweep // 2)), F.lit(2)) != sweep % 2
         around = (
-            links.filter(F.col("src") != F.col("dst"))
-            .join(state.select(F.col("node").alias("dst"), "cid"), "dst")
-            .groupBy(F.col("src").alias("node"), "cid").agg(F.sum("w").alias("w"))
-        )
-        mine = state.select("node", "k", F.col("cid").alias("old"))
-        home = mine.select("node", F.col("old").alias("cid")).withColumn("w", F.lit(0.0))
-        options = around.unionByName(home).groupBy("node", "cid").agg(F.sum("w").alias("w"))
+            links.filter((F.col("src") != F.col("dst")) & ~waits)
+            .join(placed.select(F.col("node").alias("dst"), "cid", "tot"), "dst").select(F.col("src").alias("node"), "cid", "tot", "w"))
+        home = placed.filter("turn").select("node", "cid", "tot").withColumn("w", F.lit(0.0))
+        # Dealt by node once: the sums, the join and the choice all stay where the node is.
+        options = around.unionByName(home).repartition("node").groupBy("node", "cid").agg(F.sum("w").alias("w"), F.max("tot").alias("tot"))
         stay = F.col("cid") == F.col("old")
         gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(stay, F.col("k")).otherwise(0.0)) / two_m
         best = (
-            options.join(mine, "node").join(total, "cid").withColumn("gain", F.round(gain, 9))
+            options.join(mine, "node").withColumn("gain", F.round(gain, 9))
             .groupBy("node", "k", "old")
-            .agg(F.min_by("cid", F.struct(-F.col("gain"), (~stay).cast("int"), "cid")).alias("best"))
-        )
-        turn = F.pmod(F.xxhash64("node", F.lit(sweep // 2)), F.lit(2)) == sweep % 2
-        new = durable(best.select(
-            "node", "k", F.when(turn, F.col("best")).otherwise(F.col("old")).alias("cid"),
-            (turn & (F.col("best") != F.col("old"))).alias("moved")))
+            .agg(F.min_by("cid", F.struct(-F.col("gain"), (~stay).cast("int"), "cid")).alias("best")))
+        kept = placed.filter("not turn").select("node", "k", "cid", F.lit(False).alias("moved"))
+        new = durable(best.select("node", "k", F.col("best").alias("cid"), (F.col("best") != F.col("old")).alias("moved")).unionByName(kept))
         moved = new.filter("moved").count()
         state = new.select("node", "k", "cid")
         moved_any = moved_any or moved > 0
