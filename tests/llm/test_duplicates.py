@@ -186,6 +186,18 @@ def test_lines_of_a_key_meet_or_stand_in_its_crowd():
         assert all((a, b) in met or {(a, a), (b, b)} <= met for b in range(size) for a in range(b))
 
 
+def test_crowd_pairs_meet_seldom(spark):
+    """Two likely sets share most of their prefixes; they do not meet once under each shared element."""
+    rnd = np.random.default_rng(3)
+    words = rnd.integers(0, 1 << 63, 200).astype(np.uint64) * np.uint64(2)
+    rare = rnd.integers(0, 1 << 63, (40, 4)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    sets = [np.unique(np.concatenate([words, own])) for own in rare]
+    df = spark.createDataFrame([(k, k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "id long, root long, packed binary")
+    got = [(r.a, r.b) for r in crowds.pairs(df, 80).collect()]
+    assert set(got) == {(a, b) for b in range(40) for a in range(b)}
+    assert len(got) <= 2 * len(set(got))
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_crowd_join_is_exact(spark, percent):
     rnd = np.random.default_rng(percent)
