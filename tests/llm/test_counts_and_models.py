@@ -265,3 +265,30 @@ def test_language_model_learns_from_every_document(frame, monkeypatch):
     df = frame(rows).selectExpr("*", "doc_id < 40 as fold")
     told = [r for r in logbilinear.scores(df, "fold").collect() if r.held_out]
     assert len(told) == 40 and all(r.score > 0.6 * r.base_score for r in told)
+
+
+def test_every_round_passes_over_every_document(frame):
+    """A corpus of 7,000 documents: four rounds over all of them, done again without Spark."""
+    rows = [(k, f"a{k % 7} b{k % 11} a{k % 7}") for k in range(7000)]
+    learn = frame(rows).selectExpr("xxhash64(doc_id, text) as row", "text")
+    vocabulary = logbilinear.Vocabulary(logbilinear.token_counts(learn))
+    got = logbilinear.train(learn, vocabulary)
+    end, noise, want = vocabulary.index[b""], vocabulary.noise, logbilinear.Model(vocabulary.noise)
+    shards = defaultdict(list)
+    for r in sorted(learn.selectExpr("row", "text", f"pmod(xxhash64(row), {logbilinear.SHARDS}) as shard").collect()):
+        classes = vocabulary.look_up(logbilinear.folded_words(r.text))[1].astype(np.int16)
+        shards[r.shard].append(logbilinear.contexts(classes, end))
+    for turn in range(logbilinear.ROUNDS):
+        sums, size = [0.0] * 4, 0
+        for shard, held in shards.items():
+            own = logbilinear.Model(noise)
+            for mine, shared in zip(own.parameters(), want.parameters()):
+                mine[...] = shared
+            parts = [np.concatenate(x) for x in zip(*held)]
+            own.fit(*parts, noise, np.random.default_rng([turn, shard]), logbilinear.RATE / (1 + turn))
+            sums = [s + len(parts[2]) * p.astype(np.float64) for s, p in zip(sums, own.parameters())]
+            size += len(parts[2])
+        for p, s in zip(want.parameters(), sums):
+            p[...] = s / size
+    for mine, other in zip(got.parameters(), want.parameters()):
+        assert np.allclose(mine, other, atol=1e-4)
